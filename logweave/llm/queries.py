@@ -1,10 +1,13 @@
 """Queries of this subpackage, by name."""
 
+from .mixing import op3_mixing
 from .substring_dedup import op2_substring_dedup
 
+ALL = (op2_substring_dedup, op3_mixing)
+
 
 def queries():
-    return {f.__name__: f for f in (op2_substring_dedup,)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql():
