@@ -1,9 +1,10 @@
 """Queries of this subpackage, by name."""
 
 from .mixing import op3_mixing
+from .quality_rules import op4_quality_rules
 from .substring_dedup import op2_substring_dedup
 
-ALL = (op2_substring_dedup, op3_mixing)
+ALL = (op2_substring_dedup, op3_mixing, op4_quality_rules)
 
 
 def queries():
