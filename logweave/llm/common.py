@@ -43,7 +43,7 @@ def chunked(docs: DataFrame, key: str, text: str, size: int, chunk_bytes: int =
     """(key, text, chunk): each chunk holds about `chunk_bytes` of text.  Texts are spread by key and text,
     so neither a hot source nor a null key fills a chunk.  Two plans over the result share one exchange."""
     spark = docs.sparkSession
-    n = max(4 * partitions(spark), size // chunk_bytes + 1)
+    n = max(8, size // chunk_bytes + 1)  # by size alone: rows that chunks send to buckets must not grow with the cluster
     spread = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     spread = spread.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(n)))
     return spread.repartition(partitions(spark), "chunk")

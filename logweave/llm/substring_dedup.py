@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, chunked, partitions, power_of_two, text_size
+from .common import arrow_batches, chunked, power_of_two, text_size
 from .kernels import (Powers, byte_prefix, covered, in_sorted, pack_sorted, runs, slices, span_hashes, text_bytes,
                       unpack_sorted, window_hashes, words)
 
@@ -134,7 +134,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, key: str = "doc_id", tex
     spark = docs.sparkSession
     arrow_batches(spark)
     size = text_size(docs, text)
-    bits = max(4, (power_of_two(max(4 * partitions(spark), size / (4 << 20))) - 1).bit_length())
+    bits = max(4, (power_of_two(size / (4 << 20)) - 1).bit_length())
     chunks = chunked(docs, key, text, size)
     kind = dict(chunks.dtypes)["key"]
     sent = chunks.groupBy("chunk").applyInArrow(chunk_windows(window, bits), "bucket long, chunk long, hashes binary")
