@@ -1,10 +1,11 @@
 """Queries of this subpackage, by name."""
 
 from .mixing import op3_mixing
+from .packing import op6_packing
 from .quality_rules import op4_quality_rules
 from .substring_dedup import op2_substring_dedup
 
-ALL = (op2_substring_dedup, op3_mixing, op4_quality_rules)
+ALL = (op2_substring_dedup, op3_mixing, op4_quality_rules, op6_packing)
 
 
 def queries():
