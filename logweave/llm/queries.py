@@ -4,12 +4,13 @@ from . import topk
 from .html_extract import op9_html_extraction
 from .mixing import op3_mixing
 from .packing import op6_packing
+from .pii import op1_pii import op6_packing
 from .quality_cnn import op10_quality_cnn
 from .quality_rules import op4_quality_rules
 from .substring_dedup import op2_substring_dedup
 from .topk import op5_topk_search
 
-ALL = (op2_substring_dedup, op3_mixing, op4_quality_rules, op5_topk_search, op6_packing, op9_html_extraction, op10_quality_cnn)
+ALL = (op1_pii, op2_substring_dedup, op3_mixing, op4_quality_rules, op5_topk_search, op6_packing, op9_html_extraction, op10_quality_cnn)
 
 
 def queries():
