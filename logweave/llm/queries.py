@@ -4,7 +4,7 @@ from . import topk
 from .html_extract import op9_html_extraction
 from .mixing import op3_mixing
 from .packing import op6_packing
-from .pii import op1_pii import op6_packing
+from .pii import op1_pii
 from .quality_cnn import op10_quality_cnn
 from .quality_rules import op4_quality_rules
 from .substring_dedup import op2_substring_dedup
