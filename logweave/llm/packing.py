@@ -5,8 +5,8 @@ remainder.  Remainders are packed in randomised groups of about `group_rows` doc
 longest first, each into the leftmost open sequence with room, found by a tournament tree over the sequences'
 free space.  Only lengths and check sums are shuffled, never texts or ids.
 
-White-space words are tokenised once for each slice of text and gathered from there, which changes no id: the
-tokenizer drops white space, and none of its rules looks across it.
+Words are cut where the tokenizer's own rules cut for certain, and a task tokenises each distinct part once; the ids
+are gathered from there, which changes none of them: no rule looks across those places.
 
 Results by case: null and empty texts are the end id alone; repeated rows are separate documents (their pieces are
 alike but lie in different places); a null id is kept; an empty table gives an empty result.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches
-from .kernels import Powers, byte_prefix, slices, span_hashes, text_bytes, words
+from .kernels import IS_SPACE, LOWER, Powers, byte_prefix, in_sorted, slices, span_hashes, text_bytes, words
 
 def tokenizer_path(name="word_bpe_49k.json"):
     import public_tokenizers
@@ -28,19 +28,86 @@ def tokenizer_path(name="word_bpe_49k.json"):
     return public_tokenizers.path(name)
 
 
-def tokenise(buf, off, tokenizer, end_id):
-    """All ids, one end id behind each document, and the offsets of the documents."""
+def byte_kinds():
+    """0 white space, 1 ASCII letter, 2 digit, 3 other ASCII, 4 the rest."""
+    out = np.full(256, 3, np.int8)
+    out[IS_SPACE] = 0
+    out[65:91] = out[97:123] = 1
+    out[48:58] = 2
+    out[128:] = 4
+    return out
+
+
+KIND = byte_kinds()
+WHOLE = np.zeros(256, bool)
+WHOLE[[39, 60]] = True  # an apostrophe may begin an ending, a smaller-than sign a special token
+
+
+def units(buf, off):
+    """(bytes in lower case, starts, ends, first unit of each document): parts of words that are tokenised apart.
+
+    The tokenizer cuts between ASCII letters, each digit and runs of other ASCII marks, and lowers letters.  No cut
+    is made beside a byte beyond ASCII, and words with a byte of WHOLE stay as they are.
+    """
     starts, ends, first = words(buf, off)
+    special = np.concatenate(([0], np.cumsum(WHOLE[buf])))
+    whole = special[ends] > special[starts]
+    frozen = np.zeros(len(buf) + 1, np.int8)
+    frozen[starts[whole]] += 1
+    frozen[ends[whole]] -= 1
+    frozen = np.cumsum(frozen[:-1], dtype=np.int8) > 0
+    lowered = np.where(frozen, buf, LOWER[buf])
+    if len(buf) == 0:
+        return lowered, starts, ends, first
+    k = KIND[buf]
+    left, right = k[:-1], k[1:]
+    cut = (left > 0) & (right > 0) & (left < 4) & (right < 4) & ((left != right) | (left == 2)) & ~frozen[1:]
+    inner = np.flatnonzero(cut) + 1
+    inner = inner[~np.isin(inner, starts, assume_unique=True)]
+    starts, ends = np.sort(np.concatenate((starts, inner))), np.sort(np.concatenate((ends, inner)))
+    return lowered, starts, ends, np.searchsorted(starts, off)
+
+
+class Known:
+    """Ids of the units that a task has met, by hash; forgotten when there are more than `most`."""
+
+    def __init__(self, tokenizer, most=1_000_000):
+        self.tokenizer, self.most = tokenizer, most
+        self.clear()
+
+    def clear(self):
+        self.hashes, self.begin, self.sizes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, hashes, texts):
+        """hashes: ascending and new."""
+        if len(self.hashes) + len(hashes) > self.most:
+            return
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(ids) for ids in coded], np.int64)
+        pool = np.fromiter((i for ids in coded for i in ids), np.uint32, int(sizes.sum()))
+        place = np.searchsorted(self.hashes, hashes)
+        self.begin = np.insert(self.begin, place, np.cumsum(sizes) - sizes + len(self.pool))
+        self.sizes = np.insert(self.sizes, place, sizes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.pool = np.concatenate((self.pool, pool))
+
+
+def tokenise(buf, off, known, end_id):
+    """All ids, one end id behind each document, and the offsets of the documents."""
+    buf, starts, ends, first = units(buf, off)
     powers = Powers()
-    _, at, which = np.unique(span_hashes(byte_prefix(buf, powers), starts, ends, powers), return_index=True, return_inverse=True)
+    distinct, at, which = np.unique(span_hashes(byte_prefix(buf, powers), starts, ends, powers), return_index=True, return_inverse=True)
+    new = ~in_sorted(distinct, known.hashes)
+    if len(known.hashes) + new.sum() > known.most:
+        known.clear()
+        known.most = max(known.most, len(distinct))
+        new[:] = True
     raw = buf.tobytes()
-    coded = [e.ids for e in tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(starts[at], ends[at])], add_special_tokens=False)]
-    pool = np.fromiter((i for ids in coded for i in ids), np.uint32)
-    sizes = np.array([len(ids) for ids in coded], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    # the words of all documents, and after each document one more entry that stands for the end id
-    pool = np.append(pool, np.uint32(end_id))
-    sizes, begin = np.append(sizes, 1), np.append(begin, len(pool) - 1)
+    known.learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[at[new]], ends[at[new]])])
+    own = np.searchsorted(known.hashes, distinct)
+    # the units of all documents, and after each document one more entry that stands for the end id
+    pool = np.append(known.pool, np.uint32(end_id))
+    sizes, begin = np.append(known.sizes[own], 1), np.append(known.begin[own], len(pool) - 1)
     entries = np.insert(which, first[1:], len(sizes) - 1)
     length = sizes[entries]
     until = np.cumsum(length)
@@ -53,10 +120,10 @@ def cut_documents(path, end_id, size):
     def cut(batches):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path or tokenizer_path())
+        known = Known(Tokenizer.from_file(path or tokenizer_path()))
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, off = tokenise(*text_bytes(part.column("text")), tokenizer, end_id)
+                ids, off = tokenise(*text_bytes(part.column("text")), known, end_id)
                 rows, start, length, crc = [], [], [], []
                 for i, (lo, hi) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
                     for a in range(lo, hi, size):

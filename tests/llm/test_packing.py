@@ -65,3 +65,20 @@ def test_several_groups_repeated_rows_and_empty_table(spark):
     got = pack_documents(same).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == 2
     assert pack_documents(docs.where("false")).collect() == []
+
+
+def test_parts_change_no_id():
+    import pyarrow as pa
+
+    from logweave.llm.kernels import text_bytes
+    from logweave.llm.packing import Known, tokenise
+
+    rng = random.Random(9)
+    tok = Tokenizer.from_file(tokenizer_path())
+    known = Known(tok, most=300)
+    pieces = ["a", "Z", "ab", "0", "12", "'", "'s", "<", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "é", "é", "́", " ", " ", "K", "ß", "İ", "中", "·", ".", ",", "!!", "_", "\x00", "\x1f", "\x85", " ", "\t", "\n", "😀"]
+    for _ in range(20):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(60)]
+        ids, off = tokenise(*text_bytes(pa.array(texts)), known, 2)
+        for i, t in enumerate(texts):
+            assert ids[off[i] : off[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids + [2], repr(t)
