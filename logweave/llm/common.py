@@ -21,12 +21,17 @@ def arrow_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a folder of its own only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    work_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

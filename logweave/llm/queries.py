@@ -1,5 +1,7 @@
 """Queries of this subpackage, by name."""
 
+import corpus_pipeline
+
 from . import topk
 from .html_extract import op9_html_extraction
 from .mixing import op3_mixing
@@ -15,7 +17,7 @@ ALL = (op1_pii, op2_substring_dedup, op3_mixing, op4_quality_rules, op5_topk_sea
 
 
 def queries():
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in ALL} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
