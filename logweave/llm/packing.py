@@ -69,9 +69,9 @@ def units(buf, off):
 
 
 class Known:
-    """Ids of the units that a task has met, by hash; forgotten when there are more than `most`."""
+    """Ids of the units that a worker has met, by hash; forgotten when there are more than `most`."""
 
-    def __init__(self, tokenizer, most=1_000_000):
+    def __init__(self, tokenizer, most=400_000):
         self.tokenizer, self.most = tokenizer, most
         self.clear()
 
@@ -118,9 +118,13 @@ def tokenise(buf, off, known, end_id):
 
 def cut_documents(path, end_id, size):
     def cut(batches):
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        known = Known(Tokenizer.from_file(path or tokenizer_path()))
+        # one tokenizer for each worker process and not for each task: a worker's freed ones still take memory
+        place = path or tokenizer_path()
+        known = vars(tokenizers).setdefault("_known_units", {}).get(place)
+        if known is None:
+            known = tokenizers._known_units[place] = Known(tokenizers.Tokenizer.from_file(place))
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, off = tokenise(*text_bytes(part.column("text")), known, end_id)
