@@ -89,7 +89,7 @@ def combine(x, weights):
     return hidden, 1 / (1 + np.exp(-np.clip(hidden @ weights["out"] + weights["out_bias"], -30, 30)))
 
 
-def fit(texts, labels, epochs=12, batch=32, rate=0.01, seed=0):
+def fit(texts, labels, epochs=8, batch=32, rate=0.01, seed=0):
     """Weights of the network by Adam on the logistic loss; the two labels weigh alike."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
@@ -128,10 +128,14 @@ def fit(texts, labels, epochs=12, batch=32, rate=0.01, seed=0):
             place = np.where(take, np.concatenate((where[1:], where[-1:])), where)
             g["conv_bias"] = dv.sum(axis=0)
             g["conv"], g["embed"] = np.zeros_like(w["conv"]), np.zeros_like(w["embed"])
-            bytes_ = codes[place[:, :, None] + np.arange(WIDTH)]  # chunks, filters, width
+            bytes_ = codes[place[:, :, None] + np.arange(WIDTH)].astype(np.int64)  # chunks, filters, width
             seen = w["embed"][bytes_].reshape(*place.shape, WIDTH * EMBED)
             g["conv"] = np.einsum("cf,cfk->kf", dv, seen)
-            np.add.at(g["embed"], bytes_, (dv[:, :, None] * w["conv"].T[None]).reshape(*place.shape, WIDTH, EMBED))
+            # per place of a filter and dimension of the embedding, the gradient summed by byte
+            slope = w["conv"].reshape(WIDTH, EMBED, FILTERS)
+            for j in range(WIDTH):
+                by_filter = np.bincount((bytes_[:, :, j] + 256 * np.arange(FILTERS)).ravel(), dv.ravel(), 256 * FILTERS).reshape(FILTERS, 256)
+                g["embed"] += (slope[j] @ by_filter).T.astype(np.float32)
             step += 1
             for k in trained:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -152,7 +156,7 @@ def score_texts(weights, held_out_fold):
     return score
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample=3000, held_out_fold=2, cut=0.7, seed=0, key="doc_id", label="quality", text="text") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, sample=2000, held_out_fold=2, cut=0.7, seed=0, key="doc_id", label="quality", text="text") -> DataFrame:
     """(key, held_out, score, predicted) for each row of docs.
 
     labels: (key, label).  Rows with crc32(key as text) mod 4 equal to held_out_fold are never learned from.
