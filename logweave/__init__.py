@@ -1 +1,8 @@
 """Spark-native log analytics."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get the functions themselves, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
