@@ -11,9 +11,10 @@ from .pii import op1_pii
 from .quality_cnn import op10_quality_cnn
 from .quality_rules import op4_quality_rules
 from .substring_dedup import op2_substring_dedup
+from .suffix_dedup import op8_suffix_dedup
 from .topk import op5_topk_search
 
-ALL = (op1_pii, op2_substring_dedup, op3_mixing, op4_quality_rules, op5_topk_search, op6_packing, op7_near_dedup, op9_html_extraction, op10_quality_cnn)
+ALL = (op1_pii, op2_substring_dedup, op3_mixing, op4_quality_rules, op5_topk_search, op6_packing, op7_near_dedup, op8_suffix_dedup, op9_html_extraction, op10_quality_cnn)
 
 
 def queries():
