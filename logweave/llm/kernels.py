@@ -4,6 +4,8 @@ Everything works on whole texts as UTF-8 bytes.  A batch is cut into slices of a
 memory stays bounded whatever the size of a partition; one document is never cut.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -165,3 +167,11 @@ def in_sorted(values, table):
     at = np.searchsorted(table, values)
     at[at == len(table)] = 0
     return table[at] == values
+
+
+def give_back():
+    """Returns freed memory to the system: workers are used again, and their allocators keep what a task has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

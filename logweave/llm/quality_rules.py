@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, checkpointed
-from .kernels import Powers, byte_prefix, covered, mix64, slices, span_hashes, text_bytes, window_hashes, words
+from .kernels import Powers, byte_prefix, covered, give_back, mix64, slices, span_hashes, text_bytes, window_hashes, words
 
 CLASSES = 128
 BLOCK = 1 << 15  # trigram numbers that are summed together
@@ -84,6 +84,7 @@ def count_trigrams(batches):
                 held[name] += np.bincount(grams[which == i], minlength=CLASSES**3)
     for name in list(held):
         yield send(name)
+    give_back()
 
 
 def sum_block(key, rows):
@@ -104,9 +105,9 @@ def discounts(counts):
     return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
 
 
-def smoothed(counts, lower):
+def smoothed(counts, lower, d=None):
     """Interpolated probabilities along the last axis; lower: those of the shorter context."""
-    d = discounts(counts)
+    d = d or discounts(counts)
     off = np.select([counts == 0, counts == 1, counts == 2], [0.0, d[0], d[1]], d[2])
     total = counts.sum(axis=-1, keepdims=True)
     safe = np.maximum(total, 1)
@@ -115,14 +116,18 @@ def smoothed(counts, lower):
 
 def log_probabilities(grams, counts):
     """The smoothed log probability of each trigram number, from the sorted numbers seen and their counts."""
-    c3 = np.zeros(CLASSES**3)
-    c3[grams] = counts
-    c3 = c3.reshape(CLASSES, CLASSES, CLASSES)
-    c2 = (c3 > 0).sum(axis=0).astype(float)
+    square = CLASSES * CLASSES
+    c2 = np.bincount(grams % square, minlength=square).reshape(CLASSES, CLASSES).astype(float)
     c1 = (c2 > 0).sum(axis=0).astype(float)
     p1 = smoothed(c1, np.full(CLASSES, 1 / CLASSES))
     p2 = smoothed(c2, p1[None, :])
-    return np.log(smoothed(c3, p2[None, :, :])).astype(np.float32).ravel()
+    d, out = discounts(counts), np.empty((CLASSES, square), np.float32)
+    bounds = np.searchsorted(grams, np.arange(CLASSES + 1) * square)
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        c3 = np.zeros(square)
+        c3[grams[a:b] - i * square] = counts[a:b]
+        out[i] = np.log(smoothed(c3.reshape(CLASSES, CLASSES), p2, d)).ravel()
+    return out.ravel()
 
 
 def fit_model(docs, languages=16, language="lang", text="text"):
@@ -186,6 +191,8 @@ def score_documents(models, known):
                 stats = statistics(buf, off)
                 yield pa.RecordBatch.from_pydict({"key": part.column("key"), "model": pa.array(names, pa.string()), **{k: pa.array(v.astype(np.int64)) for k, v in stats.items()},
                                                   "log_perplexity": pa.array(-sums / np.maximum(stats["n_words"], 1))})
+        tables.clear()
+        give_back()
 
     return score
 
