@@ -7,7 +7,9 @@ LEVEL_OF = {"error": "ERROR", "purchase": "WARN", "signup": "NOTICE", "click": "
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(parts)  # one small file is one task, and parsing is the work
+    return rows.withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
 
 
 def log_lines(spark: SparkSession, sf_dir: str, sources: int = 3) -> DataFrame:
