@@ -190,3 +190,17 @@ def payload(text: Column) -> Column:
 def labelled_levels(level: Column) -> Column:
     """Three letters for each level."""
     return F.try_element_at(T.table({"TRACE": "TRC", "DEBUG": "DBG", "INFO": "INF", "NOTICE": "NTC", "WARN": "WRN", "ERROR": "ERR", "CRITICAL": "CRT"}), level)
+
+
+# --- machines -------------------------------------------------------------------------------------------------------
+
+
+def across_hosts(catalog: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(path, nodes, lacking, unreachable) for each path of a catalog (node, path) over hosts (node, reachable).
+
+    nodes: machines that have the path; lacking: reachable ones that have not; unreachable: those nothing is known of.
+    """
+    every = hosts.agg(F.collect_set(F.when(F.col("reachable"), F.col("node"))).alias("up"), F.collect_set(F.when(~F.col("reachable"), F.col("node"))).alias("down"))
+    found = catalog.groupBy("path").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    out = found.crossJoin(F.broadcast(every))  # one row
+    return out.select("path", "nodes", F.array_sort(F.array_except("up", "nodes")).alias("lacking"), F.array_sort("down").alias("unreachable"))

@@ -138,3 +138,13 @@ def test_positions_payloads_rates_plugins(spark):
     registry = Registry()
     assert registry.add("stages", "s", lambda df, c: df.where("i = 1")) and not registry.add("stages", "s", None) and not registry.add("stages", "t", None, (2, 0))
     assert registry.apply(small).count() == 1 and len(registry.errors) == 2
+
+
+def test_paths_across_hosts_and_marks(spark):
+    files = spark.createDataFrame([("a", "/x"), ("b", "/x"), ("a", "/y")], "node string, path string")
+    hosts = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "node string, reachable boolean")
+    assert {r.path: (r.nodes, r.lacking, r.unreachable) for r in views.across_hosts(files, hosts).collect()} == {"/x": (["a", "b"], [], ["c"]), "/y": (["a"], ["b"], ["c"])}
+    lines = spark.createDataFrame([("s", 0, "one"), ("s", 1, "two"), ("t", 0, "one")], "source string, line_no long, raw string")
+    marks = lines.where("raw = 'one'").select("source", views.digest().alias("digest"))
+    assert views.marked(lines, marks).count() == 2
+    assert sorted(r.source for r in views.retained(marks, lines.where("line_no = 1"), ["s"]).collect()) == ["t"]
