@@ -4,6 +4,11 @@ Golden-ratio points are mapped through the cumulative targets, so any stretch of
 whole is.  Slots are ranked per source.  Each source's documents are shuffled by a hash, laid end to end and cut
 into blocks of equally many words; the slot of rank r takes block r modulo the number of blocks, at most twice.
 
+A source's block is at most a 64th of the source, so that small sources are mixed like large ones.  Slots are counted
+in words really taken: a source has as many as its blocks need to reach the target, the last one is cut to what is
+left, slots beyond it take nothing, and slots that the points leave out follow after the schedule's end.  So every
+source takes its target to the word, whatever the size of the corpus.
+
 Ranks and places are two-level sums: within small groups first, then over the groups' totals.  So a source with a
 third of all rows, or a third of the schedule, is never sorted in one task.  The driver sees one row per source.
 
@@ -23,9 +28,10 @@ from .common import arrow_batches, checkpointed
 from .kernels import slices, text_bytes, words
 
 GOLDEN = 0.6180339887498949
-GRID = 4096  # cells of the unit interval, to look up a point's source by equality
+GRID = 4096  # cells of the unit interval, at least, to look up a point's source by equality
 GROUPS = 1024  # of a source's documents
 TURN = 4096  # slots that are ranked together
+SHARE = 64  # blocks of a source, at least, if it has as many words
 
 
 def source_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
@@ -82,10 +88,11 @@ def schedule(spark, targets, block):
             rows.append((name, low / total, (low + target) / total))
             low += target
     slots = math.ceil(total / block) if total else 0
+    grid = max(GRID, 4 * len(rows))
     cells = spark.createDataFrame(rows, "name string, low double, high double")
-    cells = cells.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * GRID), F.least(F.floor(F.col("high") * GRID), F.lit(GRID - 1)))))
+    cells = cells.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * grid), F.least(F.floor(F.col("high") * grid), F.lit(grid - 1)))))
     points = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"pmod((id + 0.5D) * {GOLDEN}D, 1.0D)").alias("point"))
-    points = points.withColumn("cell", F.floor(F.col("point") * GRID))
+    points = points.withColumn("cell", F.floor(F.col("point") * grid))
     met = points.join(cells, "cell").where("point >= low and point < high").select("name", "slot", F.expr(f"slot div {TURN}").alias("turn"))
     within = Window.partitionBy("name", "turn").orderBy("slot")
     before = Window.partitionBy("name").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,11 +101,28 @@ def schedule(spark, targets, block):
     return ranked.select("name", "slot", (F.col("before") + F.col("within")).alias("rank"))
 
 
+def source_facts(sizes, targets, most, block):
+    """(name, source_size, target, step, blocks, need, last, cut) of each source.
+
+    step: words in a block; need: slots until the target is taken; last, cut: the block of the last slot and its words.
+    """
+    out = []
+    for name, target in targets.items():
+        size = sizes[name]
+        step = max(1, min(block, size // SHARE))
+        blocks = -(-size // step)
+        passes, rest = divmod(int(min(math.floor(target + 0.5), most * size)), size) if size else (0, 0)
+        tail = -(-rest // step)
+        need = passes * blocks + tail
+        out.append((name, size, target, step, blocks, need, (need - 1) % blocks if need else -1, rest - (tail - 1) * step if tail else step))
+    return out
+
+
 def mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2, block=None, seed=0, key="doc_id", source="source", text="text") -> DataFrame:
     """(key, source, mark, size, source_size, target, taken) for each row of docs.
 
     taken: words of the document that the mix takes, repeats counted, at most `most` times its size.
-    block: words in a block; by default as many as make about a million blocks, 16 at least.
+    block: words in a block, at most; by default as many as make about a million blocks, 16 at least.
     """
     spark = docs.sparkSession
     sized = checkpointed(sized_documents(docs, key, source, text)).withColumn("name", named(F.col("source")))
@@ -107,8 +131,10 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2, block=None, seed=
     targets = {"n" if s is None else "s" + s: t for s, t in source_targets(plain, weights, share, most).items()}
     block = block or max(16, math.ceil(sum(totals.values()) / (1 << 20)))
 
-    facts = [(n, totals[n], t, -(-totals[n] // block)) for n, t in targets.items()]
-    facts = spark.createDataFrame(facts, "name string, source_size long, target double, blocks long")
+    facts = source_facts(totals, targets, most, block)
+    slots = {f[0]: float(f[5]) for f in facts}
+    facts = spark.createDataFrame(facts, "name string, source_size long, target double, step long, blocks long, need long, last long, cut long")
+    facts = F.broadcast(facts) if len(targets) <= 1000 else facts
     shuffled = sized.withColumn("turned", F.xxhash64(F.lit(seed), "mark")).withColumn("part", F.pmod("turned", F.lit(GROUPS)))
     within = Window.partitionBy("name", "part").orderBy("turned", "key", "size")
     before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,13 +143,18 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2, block=None, seed=
     placed = shuffled.withColumn("row", F.row_number().over(within)).withColumn("upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(offsets, ["name", "part"]).withColumn("at", F.col("before") + F.col("upto") - F.col("size"))
 
-    pieces = placed.withColumn("block", F.explode_outer(F.expr(f"case when size > 0 then sequence(at div {block}, (at + size - 1) div {block}) end")))
-    pieces = pieces.withColumn("words", F.expr(f"least(at + size, (block + 1) * {block}) - greatest(at, block * {block})"))
-    turns = schedule(spark, targets, block).join(F.broadcast(facts.select("name", "blocks")) if len(targets) <= 1000 else facts.select("name", "blocks"), "name")
-    turns = turns.where(F.col("rank") < most * F.col("blocks")).groupBy("name", F.expr("rank % blocks").alias("block")).agg(F.count("*").alias("times"))
+    pieces = placed.join(facts.select("name", "step", "last", "cut"), "name")
+    pieces = pieces.withColumn("block", F.explode_outer(F.expr("case when size > 0 then sequence(at div step, (at + size - 1) div step) end")))
+    pieces = pieces.withColumn("low", F.expr("greatest(at, block * step)")).withColumn("high", F.expr("least(at + size, (block + 1) * step)"))
+    met = schedule(spark, slots, 1).join(facts.select("name", "blocks", "need"), "name").where("rank < need").select("name", "rank", "blocks")
+    counts = met.groupBy("name").agg(F.count("*").alias("met"))
+    lacking = facts.join(counts, "name", "left").withColumn("met", F.coalesce("met", F.lit(0))).where("met < need")
+    lacking = lacking.select("name", F.explode(F.expr("sequence(met, need - 1)")).alias("rank"), "blocks")
+    turns = met.unionByName(lacking).groupBy("name", F.expr("rank % blocks").alias("block")).agg(F.count("*").alias("times"))
     joined = pieces.join(turns, ["name", "block"], "left")
-    taken = joined.groupBy("name", "part", "row", "key", "source", "mark", "size").agg(F.sum(F.expr("coalesce(words * times, 0)")).alias("taken"))
-    out = taken.join(F.broadcast(facts) if len(targets) <= 1000 else facts, "name")
+    words = F.expr("coalesce((high - low) * times - if(block = last, greatest(0, high - greatest(low, block * step + cut)), 0), 0)")
+    taken = joined.groupBy("name", "part", "row", "key", "source", "mark", "size").agg(F.sum(words).alias("taken"))
+    out = taken.join(facts, "name")
     return out.select(F.col("key").alias(key), F.col("source").alias(source), "mark", "size", "source_size", "target", "taken")
 
 

@@ -50,3 +50,15 @@ def test_texts_follow_the_mix_and_edge_tables(spark):
     assert mix(docs.where("false")).collect() == []
     odd = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("string").alias("source"), F.lit(1).alias("name"), F.lit(2).alias("size"))
     assert sum(r.taken for r in mix(odd).collect()) > 0
+
+
+def test_sources_smaller_than_a_block_come_to_their_targets(spark):
+    sizes = {"a": 1, "b": 20, "c": 50, "d": 150, "e": 3000, None: 33}
+    rows = [(i, s, " ".join(f"w{j}" for j in range(n // 2 * k, n if k else n // 2))) for i, (s, n) in enumerate(sizes.items()) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {}
+    for r in mix(docs, block=100).collect():
+        assert r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r["size"]
+        got[r.source] = (r.target, got.get(r.source, (0, 0))[1] + r.taken)
+    assert got.keys() == sizes.keys()
+    assert all(abs(taken - target) <= 0.5 for target, taken in got.values()), got
