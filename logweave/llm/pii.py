@@ -5,8 +5,9 @@ Those seeds induce lexical patterns, the word before them; Spark scores the grap
 a pattern is as reliable as the instances it precedes, an instance as the patterns before it.  Reliable patterns then
 mark identifier-like tokens that no base pattern takes.
 
-At most `most_patterns` patterns for each kind are kept (a documented bound), so they fit into the plan as a literal;
-instances and patterns are counted over all documents and stay distributed.
+All trusted patterns are kept, as rows: identifier-like tokens are joined with them by the word before, and what they
+mark goes back to the texts by two hashes of the text.  Few patterns are broadcast; many are joined in SALTS parts, so
+that a word that stands before many tokens is spread.  Instances and patterns stay distributed.
 
 The expressions are written so that no input makes the matcher recurse: repetitions of groups are possessive or
 bounded, and a match starts only where none before it could go on.
@@ -24,6 +25,7 @@ from .common import checkpointed
 
 # Kinds in their order, and the patterns, equal to the plain ones named beside them.
 KINDS = ("email", "ip", "card", "phone")
+SALTS = 16
 # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -94,17 +96,25 @@ def written(spans):
 
 
 def word_before(text, start):
-    """The word before a place, in lower case; empty where there is none within 48 characters."""
-    near = F.substring(text, F.greatest(start - 47, F.lit(1)), F.least(start, F.lit(48)))
-    return F.lower(F.regexp_extract(near, r"(\S{1,32})\s{1,8}$", 1))
+    """The word before a place, in lower case; empty where there is none.  Short stretches are tried first."""
+    def near(n):
+        return F.substring(text, F.greatest(start - (n - 1), F.lit(1)), F.least(start, F.lit(n)))
+
+    def whole(n):
+        return F.regexp_extract(near(n), r"\s(\S++)\s++$", 1)
+
+    word = F.regexp_extract(F.substring(text, F.lit(1), start), r"(?<!\S)(\S++)\s++$", 1)
+    for n in (4096, 48):
+        word = F.when((start > n) & (whole(n) != ""), whole(n)).when(start > n, word).otherwise(F.regexp_extract(near(n), r"(?<!\S)(\S++)\s++$", 1))
+    return F.when(F.substring(text, start, F.lit(1)).rlike(r"\s"), F.lower(word)).otherwise("")
 
 
 def candidates(text, base):
     """Identifier-like tokens apart from the base spans: (start, end, value, before), marks around them cut off."""
-    bare = lambda v: F.regexp_extract(v, r"""^[("'<\[{]*(.*?)[)"'>\]}.,;:!?]*$""", 1)
-    lead = lambda v: F.length(v) - F.length(F.regexp_replace(v, r"""^[("'<\[{]+""", ""))
+    after = lambda v: F.regexp_replace(v, r"""^[("'<\[{]+""", "")
+    bare = lambda v: F.regexp_replace(after(v), r"""(?<![)"'>\]}.,;:!?])[)"'>\]}.,;:!?]++$""", "")
+    lead = lambda v: F.length(v) - F.length(after(v))
     slots = F.when(text.rlike("[@0-9]"), found(text, SLOT)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    slots = F.filter(slots, lambda s: F.length(s["value"]) <= 128)
     slots = F.filter(slots, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
     def trimmed(s):
@@ -114,8 +124,8 @@ def candidates(text, base):
     return F.filter(F.transform(slots, trimmed), lambda s: reduce(lambda a, b: a | b, (s["value"].rlike(SHAPES[k]) for k in KINDS)))
 
 
-def with_base(docs, key, text):
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def with_base(docs, key, text, *others):
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *others)
     rows = rows.withColumns(base_columns(F.col("text")))
     return rows.withColumn("base", F.array_sort(F.concat(*(numbered(F.col(kind), k) for k, kind in enumerate(KINDS)))))
 
@@ -151,35 +161,48 @@ def score_patterns(graph, turns=3):
     return scores.select("pattern", "kind", "support", "reliability")
 
 
-def learn_patterns(rows, turns=3, least_support=8, least_reliability=0.9, most_patterns=200):
-    """{(pattern, kind)} that are trusted, `most_patterns` of each kind at most, the best supported ones."""
+def learn_patterns(rows, turns=3, least_support=8, least_reliability=0.9):
+    """(pattern, kind) of all that are trusted."""
     graph = checkpointed(occurrences(rows))
     good = score_patterns(graph, turns).where((F.col("support") >= least_support) & (F.col("reliability") >= least_reliability))
-    out = []
-    for kind in KINDS:
-        best = good.where(F.col("kind") == kind).orderBy(F.desc("support"), F.desc("reliability"), "pattern").limit(most_patterns)
-        out += [(r.pattern, kind) for r in best.collect()]
-    return out
+    return checkpointed(good.select("pattern", "kind"))
+
+
+def with_marks(rows):
+    return rows.withColumns({"mark": F.xxhash64("text"), "mark2": F.xxhash64(F.lit(1), "text")})
 
 
-def find_pii(docs: DataFrame, key="doc_id", text="text", **how) -> DataFrame:
+def marked_tokens(rows, trusted, broadcast):
+    """(mark, mark2, more) for each text with tokens behind trusted patterns; more: their (start, kind number, end)."""
+    tokens = with_marks(rows).select("mark", "mark2", F.explode(candidates(F.col("text"), F.col("base"))).alias("s"))
+    tokens = tokens.select("mark", "mark2", "s.start", "s.end", "s.value", F.col("s.before").alias("pattern")).where("pattern != ''")
+    if broadcast:
+        met = tokens.join(F.broadcast(trusted), "pattern")
+    else:
+        salted = trusted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = tokens.withColumn("salt", F.pmod(F.xxhash64("mark", "start"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"])
+    met = met.where(reduce(lambda a, b: a | b, ((F.col("kind") == k) & F.col("value").rlike(SHAPES[k]) for k in KINDS)))
+    number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    return met.groupBy("mark", "mark2").agg(F.collect_set(F.struct("start", number.alias("kind"), "end")).alias("more"))
+
+
+def find_pii(docs: DataFrame, key="doc_id", text="text", most_broadcast=100_000, **how) -> DataFrame:
     """(key, text, email, ip, card, phone, base, spans) for each row of docs.
 
     The kinds' columns and base hold what the base patterns find; spans also what trusted patterns mark, as structs
-    (start, kind number, end).  A marked token never overlaps a base span.
+    (start, kind number, end).  A marked token never overlaps a base span.  Up to `most_broadcast` trusted patterns,
+    of 32 characters on average, are broadcast; more are joined by shuffles, to the same end.
     """
     rows = with_base(docs, key, text)
     trusted = learn_patterns(rows, **how)
-    if not trusted:
+    number, length = trusted.agg(F.count("*"), F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()
+    if not number:
         return rows.withColumn("spans", F.col("base")).withColumnRenamed("key", key)
-
-    def marked(kind):
-        words = [p for p, x in trusted if x == kind]
-        return F.filter("others", lambda s: s["before"].isin(words) & s["value"].rlike(SHAPES[kind]))
-
-    rows = rows.withColumn("others", candidates(F.col("text"), F.col("base")))
-    more = [numbered(marked(kind), k) for k, kind in enumerate(KINDS) if any(x == kind for _, x in trusted)]
-    return rows.withColumn("spans", F.array_sort(F.concat("base", *more))).drop("others").withColumnRenamed("key", key)
+    told = marked_tokens(rows, trusted, number <= most_broadcast and length <= 32 * most_broadcast)
+    plain = with_marks(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))
+    out = with_base(plain.join(told, ["mark", "mark2"], "left"), "key", "text", "more")
+    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
+    return out.withColumn("spans", spans).drop("more").withColumnRenamed("key", key)
 
 
 def redacted(text, spans):

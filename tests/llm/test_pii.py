@@ -60,3 +60,14 @@ def test_redaction_and_edge_tables(spark):
     assert out == {0: "mail [EMAIL], [PHONE]!", 1: "", 2: "é [IP]é", 3: "none"} and redact_documents(docs).columns == docs.columns
     assert find_pii(docs.where("false")).collect() == []
     assert find_pii(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 4
+
+
+def test_all_trusted_contexts_count_however_many_long_or_far(spark):
+    words = [f"word{w}" for w in range(205)] + ["long" * 20, "huge" * 1200]
+    texts = [f"{w} x{n}_{i}@a.example soon" for n, w in enumerate(words) for i in range(8)]
+    first = len(texts)
+    texts += [f"so {w}{' ' * (12 if n % 2 else 1)}(me{n}@host), or" for n, w in enumerate(words)] + [f"word1 {'y' * 200}@host"] * 2
+    want = [f"email:{t.index('me' + str(n))}:{t.index('),')}" for n, t in enumerate(texts[first:-2])] + ["email:6:211"] * 2
+    for most in (100_000, 0):
+        rows = find_pii(documents(spark, texts), most_broadcast=most).select("doc_id", written(F.col("spans")).alias("s")).collect()
+        assert len(rows) == len(texts) and [r.s for r in sorted(rows, key=lambda r: r.doc_id)[first:]] == want
