@@ -2,16 +2,19 @@
 
 Each page is parsed into elements.  Parts that their tag, role, class or id names as menu, header, footer, sidebar,
 notice, advert, form or comments go.  Of what is left, every element subtree with text gets a hash; Spark counts the
-hashes per host, each page once, and subtrees that recur on many pages of their host are deleted.
+hashes per host, and subtrees that recur in `least_pages` different contents of their host are deleted, whatever the
+size of the host.
 
-Subtrees inside <article> or <main>, and those around them, are not counted: two pages of a host may carry the same
-article, and that is no template.  Where a page has articles, its text is theirs; else that of <main>; else all.
+A content is the nearest <article> or <main> around the subtree, else the page; equal ones count once, so that copies
+of a page or of an article make no template.  Articles, main parts and what holds them are not counted; in them only
+blocks are, and no rows of tables or items of lists, which recur by chance.  A content that would lose all its text
+keeps it.  Where a page has articles, its text is theirs; else that of <main>; else all.
 
 Hashes are counted and joined by host and hash, rows and not lists, so that a host with a third of all pages is
 spread by its hashes.  A page gets back its own hashes only.
 
 Results by case: null and empty pages give an empty text; unclosed and stray tags are closed or ignored as browsers
-do; repeated rows count as several pages; a null url has a host of its own; an empty table gives an empty result.
+do; repeated rows count as one page; a null url has a host of its own; an empty table gives an empty result.
 """
 
 import hashlib
@@ -38,15 +41,17 @@ PARTS = frozenset(
     "subscribe subscription signup sidebar sidenav menu navbar nav navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus respond "
     "replies related recommended recommendations share sharing social popup modal overlay toolbar pagination pager login paywall skip".split()
 )
+PIECES = frozenset("caption dd dt legend li tbody tfoot thead tr".split())
 HEADER = frozenset(("header", "site-header", "page-header"))
 CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 
 class Element:
-    __slots__ = ("tag", "parts", "gone", "mark", "main", "held")
+    __slots__ = ("tag", "parts", "gone", "mark", "main", "held", "digest", "size", "around", "cut")
 
     def __init__(self, tag, gone):
         self.tag, self.parts, self.gone, self.mark, self.main, self.held = tag, [], gone, None, tag in ("article", "main"), False
+        self.digest, self.size, self.around, self.cut = None, 0, None, False
 
 
 def named_away(tag, attributes):
@@ -132,29 +137,52 @@ def flat(text):
 
 
 def mark_subtrees(root):
-    """Hashes of the subtrees with text that neither hold an article nor stand in one."""
-    marks = set()
-    for e, inside in postorder(root):
-        children = [x for x in e.parts if isinstance(x, Element) and not x.gone]
-        e.held = e.main or any(x.held for x in children)
-        if e.held or inside or e.tag == "#":
-            continue
+    """(subtree, content) hashes of the subtrees with text that hold no article."""
+    order, marks = list(postorder(root)), set()
+    for e, _ in order:
+        e.held = e.main or any(x.held for x in e.parts if isinstance(x, Element) and not x.gone)
         digest, worded = hashlib.blake2b(e.tag.encode(), digest_size=8), False
         for x in e.parts:
             if isinstance(x, str):
                 text = flat(x)
                 worded |= bool(text)
+                e.size += len(text)
                 digest.update(b"\0" + text.encode("utf-8", "replace"))
-            elif not x.gone and x.mark is not None:
+            elif not x.gone and x.digest is not None:
                 worded = True
-                digest.update(b"\1" + x.mark.to_bytes(8, "big", signed=True))
+                e.size += x.size
+                digest.update(b"\1" + x.digest.to_bytes(8, "big", signed=True))
         if worded:
-            e.mark = int.from_bytes(digest.digest(), "big", signed=True)
-            marks.add(e.mark)
+            e.digest = int.from_bytes(digest.digest(), "big", signed=True)
+    for e, inside in reversed(order):
+        around = e if e.main or e.tag == "#" else e.around
+        for x in e.parts:
+            if isinstance(x, Element):
+                x.around = around
+        if e.digest is not None and not e.held and e.tag != "#" and (not inside or e.tag in BLOCK and e.tag not in PIECES):
+            e.mark = e.digest
+            marks.add((e.mark, around.digest))
     return marks
 
 
-def block_texts(roots, templates):
+def cut_templates(root, templates):
+    """Cuts the subtrees among templates, but for contents of which no text would be left."""
+    todo, cuts = [root], {}
+    while todo:
+        e = todo.pop()
+        if e.gone:
+            continue
+        if e.mark is not None and e.mark in templates:
+            cuts.setdefault(e.around, []).append(e)
+        else:
+            todo += [x for x in e.parts if isinstance(x, Element)]
+    for around, cut in cuts.items():
+        if sum(e.size for e in cut) < around.size:
+            for e in cut:
+                e.cut = True
+
+
+def block_texts(roots):
     """Texts of the blocks, in page order."""
     out, held = [], []
 
@@ -171,7 +199,7 @@ def block_texts(roots, templates):
             held.append(x)
         elif x is None:
             flush()
-        elif not x.gone and (x.mark is None or x.mark not in templates):
+        elif not x.gone and not x.cut:
             if x.tag in BLOCK:
                 flush()
                 todo.append(None)
@@ -183,7 +211,7 @@ def block_texts(roots, templates):
     return out
 
 
-def main_text(root, templates):
+def main_text(root):
     """Text of the outermost articles, else of the main parts, else of all."""
     found = {"article": [], "main": []}
     todo = [root]
@@ -196,22 +224,26 @@ def main_text(root, templates):
         if e.tag != "article":
             todo += [x for x in reversed(e.parts) if isinstance(x, Element)]
     for roots in (found["article"], [m for m in found["main"]], [root]):
-        if roots and (texts := block_texts(roots, templates)):
+        if roots and (texts := block_texts(roots)):
             return "\n".join(texts)
     return ""
 
 
 def extract_page(page, templates=frozenset()):
     root = parse(page or "")
-    mark_subtrees(root)
-    return main_text(root, templates)
+    if templates:
+        mark_subtrees(root)
+        cut_templates(root, templates)
+    return main_text(root)
 
 
 def list_subtrees(batches):
     for batch in batches:
         for part in slices(batch, "html"):
             marks = [sorted(mark_subtrees(parse(x or ""))) for x in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"mark": part.column("mark"), "host": part.column("host"), "subtrees": pa.array(marks, pa.list_(pa.int64()))})
+            of = pa.array([i for i, m in enumerate(marks) for _ in m], pa.int64())
+            subtrees, contents = (pa.array([x[k] for m in marks for x in m], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_pydict({"mark": part.column("mark").take(of), "host": part.column("host").take(of), "subtree": subtrees, "content": contents})
 
 
 def extract(batches):
@@ -221,20 +253,18 @@ def extract(batches):
             yield pa.RecordBatch.from_pydict({"key": part.column("key"), "url": part.column("url"), "text": pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())})
 
 
-def extract_text(pages: DataFrame, least_pages=5, least_share=0.02, key="page_id", url="url", page="html") -> DataFrame:
+def extract_text(pages: DataFrame, least_pages=5, key="page_id", url="url", page="html") -> DataFrame:
     """(key, url, text) for each row of pages.
 
-    A subtree is a template where it recurs on `least_pages` pages of its host and on `least_share` of them.
+    A subtree is a template where it recurs in `least_pages` different contents of its host.
     """
     arrow_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
     rows = rows.withColumn("mark", F.xxhash64("key", "url", "html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
-    listed = rows.withColumn("host", host).select("mark", "host", "html").mapInArrow(list_subtrees, "mark long, host string, subtrees array<long>")
-    each = listed.select("mark", "host", F.explode("subtrees").alias("subtree"))
-    totals = rows.groupBy(host.alias("host")).agg(F.count("*").alias("pages"))
-    counts = each.groupBy("host", "subtree").count().where(F.col("count") >= least_pages)
-    templates = counts.join(totals, "host").where(F.col("count") >= least_share * F.col("pages")).select("host", "subtree")
+    each = rows.withColumn("host", host).select("mark", "host", "html").mapInArrow(list_subtrees, "mark long, host string, subtree long, content long")
+    counts = each.select("host", "subtree", "content").distinct().groupBy("host", "subtree").count()
+    templates = counts.where(F.col("count") >= least_pages).select("host", "subtree")
     told = each.join(templates, ["host", "subtree"], "left_semi").groupBy("mark").agg(F.collect_set("subtree").alias("templates"))
     kind = dict(rows.dtypes)["key"]
     out = rows.join(told, "mark", "left").select("key", "url", "html", "templates").mapInArrow(extract, f"key {kind}, url string, text string")

@@ -1,3 +1,5 @@
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from logweave.llm.html_extract import extract_page, extract_text, op9_html_extraction
@@ -47,3 +49,20 @@ def test_edge_tables(spark):
     odd = pages.withColumns({"key": F.lit(1), "mark": F.lit(2), "host": F.lit(3), "templates": F.lit(4)})
     assert [r.text for r in extract_text(odd, least_pages=9).collect()] == ["a"] * 7
     assert extract_text(pages.where("false")).collect() == []
+
+
+def test_copies_are_one_content_and_no_page_loses_all_its_text(spark):
+    copy = "<html><body><div><p>first thing</p><p>second thing</p></div></body></html>"
+    rows = [(i, f"http://copies/{i}", copy) for i in range(7)] + [(9, "http://copies/9", "<p>second thing</p><p>and other words</p>")]
+    turned = list(permutations(("one", "two", "three")))
+    rows += [(100 + i, f"http://turned/{i}", "".join(f"<p>{x}</p>" for x in t)) for i, t in enumerate(turned)]
+    rows += [(1000 + i, f"http://large/{i}", f"<body>{'<p>Notice to all</p>' if i < 6 else ''}<p>some own words here {i}</p></body>") for i in range(400)]
+    rows += [(2000 + i, f"http://inner/{i}", f"<main><article><h1>own title {i}</h1><p>Sign up <b>now</b></p><ul><li>yes</ul><table><tr><td>{i}<tr><td>5</table></article></main>") for i in range(6)]
+    rows += [(3000 + i, f"http://inner/again{i}", "<article><p>one article</p><p>in copies</p></article>" + f"<p>beside {i}") for i in range(6)]
+    got = {r.page_id: r.text for r in extract_text(table(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == "first thing\nsecond thing" for i in range(7)) and got[9] == "second thing\nand other words"
+    assert all(got[100 + i] == "\n".join(t) for i, t in enumerate(turned))
+    assert all(got[1000 + i] == f"some own words here {i}" for i in range(400))
+    assert all(got[2000 + i] == f"own title {i}\n{i}\n5" for i in range(6))
+    assert all(got[3000 + i] == "one article\nin copies" for i in range(6))
