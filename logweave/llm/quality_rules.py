@@ -3,8 +3,9 @@
 The model is an interpolated modified Kneser-Ney trigram model over classes of bytes, one for each language.
 Spark counts the trigrams of all documents; a task adds up what it reads before it sends, as sorted arrays of
 trigram numbers and counts, and buckets of numbers are summed apart.  There are CLASSES**3 numbers, about two
-million, so the model's size has a bound whatever the size of the corpus, and it may be broadcast.  Languages
-beyond the `languages` most frequent ones share one model.
+million, so the model's size has a bound whatever the size of the corpus.  Every language has its own model and bands:
+those of the `languages` most frequent ones are broadcast; documents of all others are dealt by language and chunk, and
+each chunk meets its language's model, which stays distributed.
 
 A document's verdict compares its log perplexity for each word with its language's documents: the bands are the
 quartiles of all documents that pass the base rules, widened downwards by `below` and upwards by `above` times the
@@ -130,18 +131,51 @@ def log_probabilities(grams, counts):
     return out.ravel()
 
 
-def fit_model(docs, languages=16, language="lang", text="text"):
-    """({language: (trigram numbers ascending, counts)}, names with a model of their own); the rest share "*"."""
-    top = [r[0] for r in docs.groupBy(F.col(language).alias("l")).count().orderBy(F.desc("count"), "l").limit(languages).collect()]
-    named = F.col(language).isin([x for x in top if x is not None]) | (F.col(language).isNull() if None in top else F.lit(False))
-    rows = docs.select(F.when(named, F.coalesce(F.concat(F.lit("s"), F.col(language)), F.lit("n"))).otherwise("*").alias("language"), F.col(text).cast("string").alias("text"))
-    kind = "language string, block long, grams binary, counts binary"
-    parts = rows.mapInArrow(count_trigrams, kind).groupBy("language", "block").applyInArrow(sum_block, kind).collect()
-    models = {}
-    for name in {r.language for r in parts}:
-        own = sorted((r for r in parts if r.language == name), key=lambda r: r.block)
-        models[name] = (np.concatenate([np.frombuffer(r.grams, "<i4") for r in own]), np.concatenate([np.frombuffer(r["counts"], "<i8") for r in own]))
-    return models, {("n" if x is None else "s" + x) for x in top}
+COUNTS = "language string, block long, grams binary, counts binary"
+COUNTED = pa.schema([("language", pa.string()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+
+def summed(parts):
+    """(language, block, grams, counts), one row for each language and block."""
+    return parts.groupBy("language", "block").applyInArrow(sum_block, COUNTS)
+
+
+def joined_blocks(blocks):
+    """(trigram numbers ascending, counts) of a language from (block, grams, counts) of each of its blocks."""
+    own = sorted(blocks)
+    return np.concatenate([np.frombuffer(g, "<i4") for _, g, _ in own]), np.concatenate([np.frombuffer(c, "<i8") for _, _, c in own])
+
+
+def fit_model(rows):
+    """{language: (trigram numbers ascending, counts)} of rows' languages."""
+    parts = {}
+    for r in summed(rows.select("language", "text").mapInArrow(count_trigrams, COUNTS)).collect():
+        parts.setdefault(r.language, []).append((r.block, r.grams, r["counts"]))
+    return {name: joined_blocks(blocks) for name, blocks in parts.items()}
+
+
+def count_chunk(key, rows):
+    return pa.Table.from_batches(list(count_trigrams(rows.to_batches())), COUNTED)
+
+
+def score_chunk(key, rows, model):
+    """The documents of a chunk of one language, by the model of that language."""
+    got = {}
+    if model.num_rows:
+        got[key[0].as_py()] = joined_blocks(zip(*(model.column(c).to_pylist() for c in ("block", "grams", "counts"))))
+    out = list(score_batches(rows.to_batches(), got))
+    return pa.Table.from_batches(out, scored_schema(rows.schema.field("key").type))
+
+
+def score_by_language(rows, schema, chunk_bytes):
+    """Scores documents of any number of languages, about `chunk_bytes` of text of one language at a time."""
+    size = F.sum(F.octet_length("text"))
+    large = rows.groupBy("language").agg((1 + F.floor(size / chunk_bytes)).alias("chunks")).where("chunks > 1")  # few: each has as much text
+    chunks = F.coalesce("chunks", F.lit(1))
+    dealt = rows.join(F.broadcast(large), "language", "left").withColumn("chunk", F.pmod(F.xxhash64("key", "text"), chunks)).drop("chunks")
+    model = summed(dealt.select("language", "chunk", "text").groupBy("language", "chunk").applyInArrow(count_chunk, COUNTS))
+    model = model.join(F.broadcast(large), "language", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).drop("chunks")
+    return dealt.groupBy("language", "chunk").cogroup(model.groupBy("language", "chunk")).applyInArrow(score_chunk, schema)
 
 
 def statistics(buf, off, window=8):
@@ -168,51 +202,73 @@ def statistics(buf, off, window=8):
     return {"n_words": np.diff(first), "word_chars": total(solid[buf]), "n_symbols": total(SYMBOLS[buf]), "n_dup_lines": repeated, "n_repeat_words": inside[first[1:]] - inside[first[:-1]]}
 
 
-def score_documents(models, known):
-    def score(batches):
-        tables = {}
-        got = models.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                buf, off = text_bytes(part.column("text"))
-                grams, doc = trigrams(buf, off)
-                sums, n = np.zeros(len(off) - 1), np.maximum(np.diff(off) - 2, 0)
-                names = ["n" if x is None else "s" + x for x in part.column("language").to_pylist()]
-                names = [x if x in known else "*" for x in names]
-                bounds = np.concatenate(([0], np.cumsum(n)))
-                for name in set(names):
-                    if name not in tables:
-                        while len(tables) >= 8:
-                            tables.pop(next(iter(tables)))
-                        tables[name] = log_probabilities(*got[name]) if name in got else np.zeros(CLASSES**3, np.float32)
-                    own = np.array([x == name for x in names])
-                    value = np.concatenate(([0.0], np.cumsum(np.where(own[doc], tables[name][grams], 0), dtype=np.float64))) if not own.all() else np.concatenate(([0.0], np.cumsum(tables[name][grams], dtype=np.float64)))
-                    sums += np.where(own, value[bounds[1:]] - value[bounds[:-1]], 0)
-                stats = statistics(buf, off)
-                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "model": pa.array(names, pa.string()), **{k: pa.array(v.astype(np.int64)) for k, v in stats.items()},
-                                                  "log_perplexity": pa.array(-sums / np.maximum(stats["n_words"], 1))})
-        tables.clear()
-        give_back()
-
-    return score
-
-
-def assess(docs: DataFrame, below=2.0, above=10.0, least_words=20, most_repeated=30, languages=16, key="doc_id", language="lang", text="text") -> DataFrame:
-    """Statistics, log_perplexity, its language's band (low, high), base_failed and kept for each row of docs."""
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def scored_schema(key):
+    return pa.schema([("key", key), ("model", pa.string()), *((k, pa.int64()) for k in STATISTICS), ("log_perplexity", pa.float64())])
+
+
+def score_batches(batches, got):
+    tables = {}
+    for batch in batches:
+        for part in slices(batch, "text"):
+            buf, off = text_bytes(part.column("text"))
+            grams, doc = trigrams(buf, off)
+            sums, n = np.zeros(len(off) - 1), np.maximum(np.diff(off) - 2, 0)
+            names = part.column("language").to_pylist()
+            bounds = np.concatenate(([0], np.cumsum(n)))
+            for name in set(names):
+                if name not in tables:
+                    while len(tables) >= 8:
+                        tables.pop(next(iter(tables)))
+                    tables[name] = log_probabilities(*got[name]) if name in got else np.zeros(CLASSES**3, np.float32)
+                own = np.array([x == name for x in names])
+                value = np.concatenate(([0.0], np.cumsum(np.where(own[doc], tables[name][grams], 0), dtype=np.float64))) if not own.all() else np.concatenate(([0.0], np.cumsum(tables[name][grams], dtype=np.float64)))
+                sums += np.where(own, value[bounds[1:]] - value[bounds[:-1]], 0)
+            stats = statistics(buf, off)
+            columns = [part.column("key"), pa.array(names, pa.string()), *(pa.array(stats[k].astype(np.int64)) for k in STATISTICS), pa.array(-sums / np.maximum(stats["n_words"], 1))]
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            yield pa.RecordBatch.from_arrays(columns, schema=scored_schema(columns[0].type))
+    tables.clear()
+    give_back()
+
+
+def score_documents(models):
+    return lambda batches: score_batches(batches, models.value)
+
+
+def judged(scored, below, above, broadcast):
+    """scored, with its languages' bands and the verdict."""
+    quarter = F.percentile_approx("log_perplexity", [0.25, 0.75], 1000).alias("q")
+    bands = scored.where("not base_failed").groupBy("model").agg(quarter)
+    low, high = F.col("q")[0], F.col("q")[1]
+    bands = bands.select("model", (low - below * (high - low)).alias("low"), (high + above * (high - low)).alias("high"))
+    out = scored.join(F.broadcast(bands) if broadcast else bands, "model", "left")
+    fits = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    return out.withColumn("kept", ~F.col("base_failed") & fits)
+
+
+def assess(docs: DataFrame, below=2.0, above=10.0, least_words=20, most_repeated=30, languages=16, key="doc_id", language="lang", text="text", chunk_bytes=1 << 24) -> DataFrame:
+    """Statistics, log_perplexity, its language's band (low, high), base_failed and kept for each row of docs.
+
+    languages: as many have their models broadcast; the others are scored in chunks of `chunk_bytes` of text.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
-    models, known = fit_model(docs, languages, language, text)
-    rows = docs.select(F.col(key).alias("key"), F.col(language).cast("string").alias("language"), F.col(text).cast("string").alias("text"))
+    name = F.coalesce(F.concat(F.lit("s"), F.col(language).cast("string")), F.lit("n"))
+    rows = docs.select(F.col(key).alias("key"), name.alias("language"), F.col(text).cast("string").alias("text"))
+    top = [r.language for r in rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(languages + 1).collect()]
+    rare, top = len(top) > languages, top[:languages]
     kind = dict(rows.dtypes)["key"]
-    schema = f"key {kind}, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-    scored = checkpointed(rows.mapInArrow(score_documents(spark.sparkContext.broadcast(models), known), schema))
-    scored = scored.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
-    quarter = F.percentile_approx("log_perplexity", [0.25, 0.75], 1000).alias("q")
-    bands = [(r.model, r.q[0] - below * (r.q[1] - r.q[0]), r.q[1] + above * (r.q[1] - r.q[0])) for r in scored.where("not base_failed").groupBy("model").agg(quarter).collect()]
-    bands = spark.createDataFrame(bands, "model string, low double, high double")
-    out = scored.join(F.broadcast(bands), "model", "left")
-    fits = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    out = out.withColumn("kept", ~F.col("base_failed") & fits)
+    schema = f"key {kind}, model string, {', '.join(k + ' long' for k in STATISTICS)}, log_perplexity double"
+    base_failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
+    often = rows.where(F.col("language").isin(top)) if rare else rows
+    models = spark.sparkContext.broadcast(fit_model(often))
+    out = judged(checkpointed(often.mapInArrow(score_documents(models), schema)).withColumn("base_failed", base_failed), below, above, True)
+    if rare:
+        others = score_by_language(rows.where(~F.col("language").isin(top)), schema, chunk_bytes)
+        out = out.unionByName(judged(checkpointed(others).withColumn("base_failed", base_failed), below, above, False))
     return out.drop("model").withColumnRenamed("key", key)
 
 

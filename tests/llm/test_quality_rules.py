@@ -59,3 +59,20 @@ def test_edge_tables(spark):
     assert assess(odd).count() == docs.count()
     many = docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id")))
     assert assess(many, languages=2).count() == docs.count()
+
+
+def test_every_language_has_its_own_model_and_bands(spark):
+    rng = random.Random(9)
+    shift = lambda t, k: "".join(chr((ord(c) - 97 + k) % 26 + 97) if c.isascii() and c.islower() else c for c in t)
+    texts = [(k, shift(prose(rng, rng.randrange(30, 60)), k)) for k in range(18) for _ in range(30 - k)]
+    rows = [(i, None if k == 17 else f"l{k}", t) for i, (k, t) in enumerate(texts)] + [(len(texts), "none", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    want = {r.doc_id: r for r in assess(docs, languages=30).collect()}
+    assert len(want) == len(rows)
+    for how in ({}, {"languages": 3, "chunk_bytes": 2000}):
+        got = {r.doc_id: r for r in assess(docs, **how).collect()}
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            w = want[i]
+            assert (r.kept, r.base_failed, r.n_words) == (w.kept, w.base_failed, w.n_words)
+            assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-6) for a, b in ((r.log_perplexity, w.log_perplexity), (r.low, w.low), (r.high, w.high)))
