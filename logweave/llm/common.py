@@ -1,6 +1,5 @@
 """What the operators share on the driver: sizes, checkpoints, tables."""
 
-import gc
 import math
 import tempfile
 
@@ -36,13 +35,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def free_earlier_turns(spark: SparkSession) -> None:
-    """Shuffle files, broadcasts and plans of finished jobs go when the driver collects garbage; a chain of many small
-    jobs does not bring that about by itself."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_size(docs: DataFrame, text: str) -> int:
     """UTF-8 bytes of a whole text column."""
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

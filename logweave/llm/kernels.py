@@ -5,11 +5,13 @@ memory stays bounded whatever the size of a partition; one document is never cut
 """
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+LONG = 4096  # bytes of a span that is hashed by itself
 
 
 def mix64(x):
@@ -27,6 +29,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+WORD_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 class Powers:
@@ -114,6 +117,29 @@ def span_hashes(prefix, starts, ends, powers):
     return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(BASE))
 
 
+def span_codes(buf, starts, ends):
+    """Hash of the bytes of each span, eight bytes at a time through a mixing that is no polynomial, so that no family of
+    texts (such as Thue-Morse words, for hashes modulo a power of two) is bound to collide."""
+    size = (ends - starts).astype(np.int64)
+    out = mix64(size.astype(np.uint64) + np.uint64(BASE))
+    if not len(out):
+        return out
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray(shape=(len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    todo, at, left = np.arange(len(out)), starts.astype(np.int64), size
+    for i in np.flatnonzero(size > LONG):  # by their length alone, whatever stands beside them
+        digest = hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = mix64(out[i : i + 1] ^ np.frombuffer(digest, "<u8"))[0]
+    some = (left > 0) & (left <= LONG)
+    while some.any():
+        todo, at, left = todo[some], at[some], left[some]
+        word = eight[at] & WORD_MASKS[np.minimum(left, 8)]
+        out[todo] = mix64((out[todo] ^ word) * np.uint64(BASE) + np.uint64(1))
+        at, left = at + 8, left - 8
+        some = left > 0
+    return out
+
+
 def window_hashes(codes, first, size, powers):
     """Rabin-Karp hash of each run of `size` codes within one document; also where each run starts."""
     if len(codes) < size:
