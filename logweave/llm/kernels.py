@@ -6,6 +6,8 @@ memory stays bounded whatever the size of a partition; one document is never cut
 
 import ctypes
 import hashlib
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -201,3 +203,10 @@ def give_back():
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def worker_state(name):
+    """A dictionary that lives as long as the worker process.  Functions reach workers by value, so that globals of their
+    modules last for one task only."""
+    holder = sys.modules.setdefault("logweave_worker_state", types.ModuleType("logweave_worker_state"))
+    return vars(holder).setdefault(name, {})

@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import arrow_batches, checkpointed
-from .kernels import slices, text_bytes, words
+from .kernels import give_back, slices, text_bytes, words
 
 GOLDEN = 0.6180339887498949
 GRID = 4096  # cells of the unit interval, at least, to look up a point's source by equality
@@ -158,33 +159,39 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2, block=None, seed=
     return out.select(F.col("key").alias(key), F.col("source").alias(source), "mark", "size", "source_size", "target", "taken")
 
 
-def emit_texts(schema):
-    def emit(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                buf, off = text_bytes(part.column("text"))
-                _, ends, first = words(buf, off)
-                rows, texts = [], []
-                for i, (size, taken) in enumerate(zip(part.column("mix_size").to_pylist(), part.column("mix_taken").to_pylist())):
-                    whole, rest = divmod(taken, size) if size else (0, 0)
-                    own = buf[off[i] : off[i + 1]].tobytes()
-                    texts += [own] * whole + ([own[: ends[first[i] + rest - 1] - off[i]]] if rest else [])
-                    rows += [i] * (whole + (rest > 0))
-                table = pa.Table.from_batches([part]).take(pa.array(rows, pa.int64())).select([f for f in part.schema.names if not f.startswith("mix_")])
-                at = table.schema.get_field_index("text")
-                yield from table.set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string())).to_batches()
-
-    return emit
+def emit_texts(batches):
+    """Rows (row, text) from (row, text, size, taken): whole turns, and the words of a last turn that is cut."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            buf, off = text_bytes(part.column("text"))
+            _, ends, first = words(buf, off)
+            rows, texts = [], []
+            for i, (size, taken) in enumerate(zip(part.column("size").to_pylist(), part.column("taken").to_pylist())):
+                whole, rest = divmod(taken, size)
+                own = buf[off[i] : off[i + 1]].tobytes()
+                texts += [own] * whole + ([own[: ends[first[i] + rest - 1] - off[i]]] if rest else [])
+                rows += [i] * (whole + (rest > 0))
+            yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(rows, pa.int64())), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "text"])
+        give_back()
 
 
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself, with the columns of docs: a document stands as often as the mix takes it whole, and once
-    more with as many leading words as are left.  Identical rows share what they take evenly."""
-    plan = mix(docs, **how).groupBy("doc_id", "mark").agg(F.first("size").alias("mix_size"), F.floor(F.avg("taken")).alias("mix_taken"))
-    marked = docs.withColumn("mix_mark", F.xxhash64("doc_id", F.col("text").cast("string")))
-    same = marked["doc_id"].eqNullSafe(plan["doc_id"]) & (marked["mix_mark"] == plan["mark"])
-    chosen = marked.join(plan, same).where("mix_taken > 0").select(*(marked[c] for c in docs.columns), "mix_size", "mix_taken")
-    return chosen.mapInArrow(emit_texts(None), docs.schema)
+    """The mix itself, with the columns of docs: a document stands as often as the mix takes it.
+
+    The turns of a source run through its blocks in order, so only the document in which its last turn ends is cut, behind
+    the last word of the last block that the schedule takes.  What rows with one id and text take is dealt out among them.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    plan = mix(docs, **how).groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("of")).agg(F.first("size").alias("size"), F.sum("taken").alias("sum"), F.count("*").alias("n")).where("sum > 0")
+    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("key"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("key", "text"))
+    met = rows.join(plan, rows["key"].eqNullSafe(plan["id"]) & (rows["mark"] == plan["of"]))
+    number = F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.xxhash64("row")))
+    met = met.withColumn("number", F.when(F.col("n") > 1, number).otherwise(1))
+    taken = F.expr("sum div n + if(number <= sum % n, 1, 0)").alias("taken")
+    met = met.select("row", "text", "size", taken).where("taken > 0")
+    out = met.mapInArrow(emit_texts, StructType([met.schema["row"], StructField("text", StringType())]))
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op3_mixing(spark, sf_dir):

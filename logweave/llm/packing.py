@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches
-from .kernels import IS_SPACE, LOWER, Powers, byte_prefix, in_sorted, slices, span_hashes, text_bytes, words
+from .kernels import IS_SPACE, LOWER, give_back, in_sorted, slices, span_codes, text_bytes, words, worker_state
 
 def tokenizer_path(name="word_bpe_49k.json"):
     import public_tokenizers
@@ -95,8 +95,7 @@ class Known:
 def tokenise(buf, off, known, end_id):
     """All ids, one end id behind each document, and the offsets of the documents."""
     buf, starts, ends, first = units(buf, off)
-    powers = Powers()
-    distinct, at, which = np.unique(span_hashes(byte_prefix(buf, powers), starts, ends, powers), return_index=True, return_inverse=True)
+    distinct, at, which = np.unique(span_codes(buf, starts, ends), return_index=True, return_inverse=True)
     new = ~in_sorted(distinct, known.hashes)
     if len(known.hashes) + new.sum() > known.most:
         known.clear()
@@ -122,9 +121,10 @@ def cut_documents(path, end_id, size):
 
         # one tokenizer for each worker process and not for each task: a worker's freed ones still take memory
         place = path or tokenizer_path()
-        known = vars(tokenizers).setdefault("_known_units", {}).get(place)
-        if known is None:
-            known = tokenizers._known_units[place] = Known(tokenizers.Tokenizer.from_file(place))
+        kept = worker_state("packing")
+        if place not in kept:
+            kept[place] = Known(tokenizers.Tokenizer.from_file(place))
+        known = kept[place]
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, off = tokenise(*text_bytes(part.column("text")), known, end_id)
@@ -140,6 +140,7 @@ def cut_documents(path, end_id, size):
                 yield pa.RecordBatch.from_pydict({
                     "key": part.column("key").take(pa.array(rows)), "mark": part.column("mark").take(pa.array(rows)), "start": pa.array(start, pa.int64()),
                     "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(np.diff(off)[rows], pa.int64())})
+        give_back()
 
     return cut
 

@@ -220,9 +220,9 @@ def redacted(text, spans):
 
 def redact_documents(docs: DataFrame, **how) -> DataFrame:
     """docs, with marks in place of personal data; a null text becomes empty."""
-    carried = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
     out = find_pii(carried, key="row", **how)
-    return out.select(*((redacted(F.col("text"), F.col("spans")).alias(c) if c == "text" else F.col(f"row.{c}").alias(c)) for c in docs.columns))
+    return out.select(*((redacted(F.col("text"), F.col("spans")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c)) for c in docs.columns))
 
 
 def op1_pii(spark, sf_dir):

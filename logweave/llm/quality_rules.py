@@ -338,10 +338,10 @@ def score_documents(rows, order, size):
     return chunks.groupBy("language", "chunk").cogroup(answers.groupBy("language", "chunk")).applyInArrow(score_chunk(order, shards), schema)
 
 
-def assess(docs: DataFrame, below=3.0, above=5.0, least_words=20, most_repeated=30, order=5, key="doc_id", language="lang", text="text") -> DataFrame:
+def assess(docs: DataFrame, below=3.0, above=5.0, least_words=20, most_repeated=30, order=5, most_broadcast=10_000, key="doc_id", language="lang", text="text") -> DataFrame:
     """Statistics, log_perplexity, its language's band (low, high), base_failed and kept for each row of docs.
 
-    order: bytes of an n-gram, 3 to 7.
+    order: bytes of an n-gram, 3 to 7.  most_broadcast: as many languages' bands, two numbers each, are broadcast.
     """
     arrow_batches(docs.sparkSession)
     name = F.coalesce(F.concat(F.lit("s"), F.col(language).cast("string")), F.lit("n"))
@@ -350,8 +350,9 @@ def assess(docs: DataFrame, below=3.0, above=5.0, least_words=20, most_repeated=
     scored = checkpointed(score_documents(rows, order, text_size(docs, text)).withColumn("base_failed", base_failed))
     bands = scored.where("not base_failed").groupBy("model").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 1000).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
-    bands = bands.select("model", (low - below * (high - low)).alias("low"), (high + above * (high - low)).alias("high"))
-    out = scored.join(bands, "model", "left")
+    bands = checkpointed(bands.select("model", (low - below * (high - low)).alias("low"), (high + above * (high - low)).alias("high")))
+    # more languages than that meet their documents by a join that may split the frequent ones
+    out = scored.join(F.broadcast(bands) if bands.count() <= most_broadcast else bands, "model", "left")
     fits = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & fits).drop("model").withColumnRenamed("key", key)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, chunked, power_of_two, text_size
-from .kernels import (Powers, byte_prefix, covered, in_sorted, pack_sorted, runs, slices, span_hashes, text_bytes,
+from .kernels import (Powers, covered, in_sorted, pack_sorted, runs, slices, span_codes, text_bytes,
                       unpack_sorted, window_hashes, words)
 
 RESULT = "key {kind}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
@@ -29,7 +29,7 @@ RESULT = "key {kind}, n_words long, n_removed long, removed array<struct<start:l
 
 def hash_windows(buf, off, window, powers):
     starts, ends, first = words(buf, off)
-    codes = span_hashes(byte_prefix(buf, powers), starts, ends, powers)
+    codes = span_codes(buf, starts, ends)
     return starts, ends, first, *window_hashes(codes, first, window, powers)
 
 

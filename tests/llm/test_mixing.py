@@ -62,3 +62,12 @@ def test_sources_smaller_than_a_block_come_to_their_targets(spark):
         got[r.source] = (r.target, got.get(r.source, (0, 0))[1] + r.taken)
     assert got.keys() == sizes.keys()
     assert all(abs(taken - target) <= 0.5 for target, taken in got.values()), got
+
+
+def test_repeated_rows_share_what_they_take_and_names_may_clash(spark):
+    rows = [(i % 3 if i < 60 else i, "a", " ".join(f"w{j}" for j in range(7 if i < 60 else 40))) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 mix_size", "2 taken", "3 `row`", "4 `a.b`")
+    plan = mix(docs).collect()
+    out = mixed_texts(docs)
+    assert out.columns == docs.columns and sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in plan)
+    assert mixed_texts(docs.where("false")).collect() == []

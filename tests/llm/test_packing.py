@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 from logweave.llm.packing import first_fit, op6_packing, pack_documents, tokenizer_path
 
+from .test_near_dedup import thue_morse
 from .util import corpus, documents, prose
 
 
@@ -82,3 +83,8 @@ def test_parts_change_no_id():
         ids, off = tokenise(*text_bytes(pa.array(texts)), known, 2)
         for i, t in enumerate(texts):
             assert ids[off[i] : off[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids + [2], repr(t)
+
+
+def test_words_that_collide_in_polynomials_have_their_own_ids(spark):
+    texts = [thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a"), "q" * 9000, "q" * 9001]
+    check(pack_documents(documents(spark, texts)).collect(), texts)

@@ -3,6 +3,7 @@ import hashlib
 
 from logweave.llm.substring_dedup import dedup_substrings, op2_substring_dedup
 
+from .test_near_dedup import thue_morse
 from .util import WORD, corpus, documents
 
 
@@ -40,3 +41,13 @@ def test_empty_table_null_keys_clashing_columns(spark):
     df = documents(spark, ["p q r"] * 3).selectExpr("cast(null as long) doc_id", "text", "1 as chunk", "2 as bucket", "3 as key")
     assert [r.n_removed for r in dedup_substrings(df, window=3).collect()] == [3, 3, 3]
     assert dedup_substrings(df.where("false"), window=3).collect() == []
+
+
+def test_words_that_collide_in_polynomials_are_different(spark):
+    a, b = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    texts = [f"{a} x y", f"{b} x y", " ".join(thue_morse(128, "a", "b")), " ".join(thue_morse(128, "b", "a"))[: 2 * 64 - 1], "z" * 9000 + " x", "z" * 9000 + " x"]
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in dedup_substrings(documents(spark, texts), window=2).collect()}
+    assert got == brute(texts, 2) and got[0][1] == got[1][1] == 2
+    long = [texts[2], texts[3], texts[2] + " " + "w " * 3000]
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in dedup_substrings(documents(spark, long), window=35).collect()}
+    assert got == brute(long, 35)
