@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, near-duplicate removal, redaction, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+
+Results by case, in every stage: verdicts hold for rows, not for ids, so a null or repeated id changes nothing; null
+texts count as empty, which the quality rules reject, redaction turns into empty texts and the mix leaves out; rows that
+are alike in all columns get the same verdict, and near_dedup keeps one of them; ties go to the smaller id; long texts
+are worked on whole; an empty table gives an empty table; further columns, whatever their names, are carried along.
 """
 
 import uuid
@@ -14,20 +19,29 @@ from logweave.llm.pii import redact_documents
 from logweave.llm.quality_rules import assess
 
 
-def chosen(docs, verdicts):
-    """Rows of docs with the ids of verdicts that are kept; rows with a null id are judged together."""
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-
-
 def quality_rules(spark, docs, sf_dir):
     """Documents that pass the base rules and lie in their language's perplexity bands."""
-    return chosen(docs, assess(docs))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    mark = F.concat_ws(":", F.xxhash64(*own), F.xxhash64(F.lit(1), *own))
+    rows = docs.select(F.struct(*own).alias("row"), mark.alias("mark"))
+    kept = assess(rows.select("mark", "row.lang", "row.text"), key="mark").where("kept").select("mark").distinct()
+    return rows.join(kept, "mark", "left_semi").select("row.*")
 
 
 def near_dedup(spark, docs, sf_dir):
     """One document of each group of near duplicates: the one with the smallest id."""
-    return chosen(docs, near_duplicates(docs))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("row"), F.xxhash64("doc_id", "text").alias("node"))
+    verdicts = near_duplicates(rows.select("node", "row.text"), key="node").select("node", "component_id")
+    # a node's id comes from the documents; null ones stand behind all others
+    ids = rows.select("node", F.col("row.doc_id").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
+    kept = verdicts.distinct().join(ids, "node").groupBy("component_id").agg(first).select("first.node")
+    left = rows.join(kept, "node", "left_semi")
+    again = verdicts.groupBy("node").count().where("count > 1").select("node")
+    if not again.isEmpty():
+        left = left.join(again, "node", "left_anti").unionByName(left.join(again, "node", "left_semi").dropDuplicates(["node"]))
+    return left.select("row.*")
 
 
 def pii(spark, docs, sf_dir):
@@ -36,7 +50,7 @@ def pii(spark, docs, sf_dir):
 
 
 def mixing(spark, docs, sf_dir):
-    """Documents as often as the mix takes them, the last time with the leading words that are left."""
+    """Documents as often as the mix takes them; where a source's share ends within a document, its last turn is cut."""
     return mixed_texts(docs)
 
 
