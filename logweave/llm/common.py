@@ -1,6 +1,7 @@
 """What the operators share on the driver: sizes, checkpoints, tables."""
 
 import math
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,13 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The shared folder in spark.checkpoint.dir; one of its own only on a local master where none is set (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
