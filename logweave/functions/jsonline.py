@@ -11,9 +11,14 @@ from .fixed import JSON_DEPTH, JSON_FIELDS, JSON_LEVEL_KEYS, JSON_MESSAGE_KEYS,
 SCHEMA = "ok boolean, time string, level string, message string, fields map<string,string>"
 
 
+def writable(text):
+    """Text that UTF-8 can hold: JSON may escape half of a surrogate pair."""
+    return text.encode("utf-8", "replace").decode()
+
+
 def as_text(value):
     if isinstance(value, str):
-        return value
+        return writable(value)
     if value is None:
         return ""
     if isinstance(value, bool):
@@ -33,7 +38,7 @@ def flatten(document):
         if isinstance(value, dict) and value and depth < JSON_DEPTH:
             todo.append(iter([(f"{prefix}{key}.", k, v, depth + 1) for k, v in value.items()]))
         else:
-            out[f"{prefix}{key}"] = as_text(value)
+            out[writable(f"{prefix}{key}")] = as_text(value)
     return out
 
 
@@ -42,7 +47,7 @@ def level_of(value):
         return None
     if not isinstance(value, int):
         value = str(value).strip().strip("[]()<>:").upper()
-        if not value.isdigit():
+        if not (value.isascii() and value.isdecimal()) or len(value) > 4:
             return LEVEL_ALIASES.get(value)
     return SYSLOG[int(value)] if 0 <= int(value) < len(SYSLOG) else None
 
@@ -70,9 +75,13 @@ def read_line(line):
         return None
     if not isinstance(document, dict):
         return None
+    try:
+        fields = flatten(document)
+    except (ValueError, RecursionError):  # numbers and nesting that can be read but not written
+        return None
     first = lambda keys, f: next((y for k in keys if k in document and (y := f(document[k])) is not None), None)
     message = first(JSON_MESSAGE_KEYS, lambda v: v if isinstance(v, str) and v else None)
-    return {"ok": True, "time": first(JSON_TIME_KEYS, time_of), "level": first(JSON_LEVEL_KEYS, level_of), "message": message or line, "fields": flatten(document)}
+    return {"ok": True, "time": first(JSON_TIME_KEYS, time_of), "level": first(JSON_LEVEL_KEYS, level_of), "message": writable(message or line), "fields": fields}
 
 
 def read_json(line):

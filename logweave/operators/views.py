@@ -1,6 +1,7 @@
 """Small views over entries: bounds, navigation, marks, watches, columns, payloads."""
 
-import html
+import csv
+import io
 import json
 import re
 import xml.dom.minidom
@@ -141,40 +142,80 @@ def properties(entries: DataFrame) -> DataFrame:
 
 
 def source_labels(sources: DataFrame) -> DataFrame:
-    """(source, label) for (source, node, path): the base name if distinct, else the node, else both."""
-    base = F.regexp_extract("path", r"([^/]*)$", 1)
-    n, names, nodes = sources.agg(F.count("*"), F.count_distinct(base), F.count_distinct("node")).first()
-    label = base if names == n else F.col("node") if nodes == n else F.concat_ws(":", "node", base)
+    """(source, label) for (source, node, path): the base name on one machine, the machine for one base name on several,
+    else node/name.  A null node is the local machine."""
+    base, node = F.regexp_extract("path", r"([^/]*)$", 1), F.coalesce("node", F.lit(""))
+    names, nodes = sources.agg(F.count_distinct(base), F.count_distinct(node)).first()
+    label = base if nodes <= 1 else F.when(node == "", "local").otherwise(node) if names == 1 else F.when(node == "", base).otherwise(F.concat_ws("/", node, base))
     return sources.select("source", label.alias("label"))
 
 
 # --- payloads -------------------------------------------------------------------------------------------------------
 
+# Elements that make markup credible, and what makes a selector.
+ELEMENTS = frozenset("html head body div span p a table tr td th ul ol li h1 h2 h3 br img form input script style link meta title pre code section nav header footer button label tbody thead".split())
+SIGILS, COMBINATORS = (".", "#", "@", "*", ":"), (">", "+", "~", "[")
+RULE = re.compile(r"([^{}();]{1,120})\{([^{}]{0,2000})\}")
+DECLARATION = re.compile(r"""(?:[^;"'\\]|\\.|"(?:[^"\\]|\\.)*(?:"|\Z)|'(?:[^'\\]|\\.)*(?:'|\Z))+""", re.S)
+PROSE_WORDS = 4
+
+
+def as_json(body):
+    return json.dumps(json.loads(body), indent=2, ensure_ascii=False) if body[0] in "{[" else None
+
+
+def as_xml(body):
+    if body[0] != "<" or "<!ENTITY" in body:  # entities may grow without end
+        return None
+    return "\n".join(x for x in xml.dom.minidom.parseString(body).toprettyxml(indent="  ").splitlines() if x.strip())
+
+
+def as_html(body):
+    """Markup that is no XML: a closing tag, three tags, and two known elements unless it says that it is HTML."""
+    tags = [t.lower() for t in re.findall(r"</?([a-zA-Z][a-zA-Z0-9]*)", body)]
+    declared = body[:16].lower().startswith(("<!doctype html", "<html"))
+    return body if body[0] == "<" and "</" in body and len(tags) > 2 and (declared or len(ELEMENTS.intersection(tags)) > 1) else None
+
+
+def as_css(body):
+    """Rules and nothing else; some selector has a sigil or a combinator, and every declaration names a property."""
+    found = RULE.findall(body)
+    if body[0] == "{" or body.count("{") != body.count("}") or not found or RULE.sub("", body).strip():
+        return None
+    rules = [(" ".join(name.split()), [d.strip() for d in DECLARATION.findall(inner) if d.strip()]) for name, inner in found]
+    able = all(name and name.count(" ") < PROSE_WORDS and all(re.match(r"-{0,2}[a-zA-Z][a-zA-Z0-9-]*\s*:", d) for d in inner) for name, inner in rules)
+    signal = any(name.startswith(SIGILS) or any(c in name for c in COMBINATORS) for name, _ in rules)
+    if not able or not signal or not any(inner for _, inner in rules):
+        return None
+    return "\n".join("\n".join((f"{name} {{", *(f"  {d};" for d in inner), "}")) for name, inner in rules)
+
+
+def as_csv(body):
+    """Rows of one width with two commas at least, three columns if it is one row, and no cells of prose without quotes."""
+    if body.count(",") < 2:
+        return None
+    rows = list(csv.reader(io.StringIO(body)))
+    width = len(rows[0])
+    if width < 2 or {len(r) for r in rows} != {width} or len(rows) == 1 and width < 3:
+        return None
+    most = 1 if len(rows) == 1 else PROSE_WORDS
+    if '"' not in body and any(len(c.split()) > most for r in rows for c in r):
+        return None
+    return "\n".join("\t".join(c.strip() for c in r) for r in rows)
+
 
 def classify(text, limit=8192):
     """(label, pretty) by the first proof: JSON, XML, HTML, CSS, CSV; else nothing."""
     body = (text or "").strip()
     if not body or len(body) > limit:
         return None, None
-    if body[0] in "{[":
+    for label, proof in (("JSON", as_json), ("XML", as_xml), ("HTML", as_html), ("CSS", as_css), ("CSV", as_csv)):
         try:
-            return "JSON", json.dumps(json.loads(body), indent=2, ensure_ascii=False)
-        except (ValueError, RecursionError):
-            pass
-    if body[0] == "<":
-        if re.match(r"(?is)<!doctype\s+html|<html[\s>]", body) is None:
-            try:
-                if "<!ENTITY" not in body and "<!DOCTYPE" not in body:
-                    return "XML", xml.dom.minidom.parseString(body).toprettyxml(indent="  ")
-            except Exception:  # noqa: BLE001  the reader raises whatever its parts raise
-                pass
-        if re.match(r"(?is)<!doctype\s+html|<(html|head|body|div|p|table|span|ul|ol|a|h[1-6]|form)[\s>]", body):
-            return "HTML", html.unescape(re.sub(r">\s*<", ">\n<", body))
-    if re.fullmatch(r"(?s)(?:\s*[^{}@]+\{(?:\s*[\w-]+\s*:[^;{}]+;?)+\s*\})+\s*", body):
-        return "CSS", re.sub(r"\s*([{};])\s*", r"\1\n", body)
-    rows = [x.split(",") for x in body.splitlines()]
-    if len(rows) > 1 and len(rows[0]) > 1 and len({len(r) for r in rows}) == 1:
-        return "CSV", "\n".join("\t".join(c.strip() for c in r) for r in rows)
+            pretty = proof(body)
+        except Exception:  # noqa: BLE001  a reader raises whatever its parts raise; then it is not of that kind
+            continue
+        if pretty is not None:
+            return label, pretty.encode("utf-8", "replace").decode()
     return None, None
 
 

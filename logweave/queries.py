@@ -111,6 +111,11 @@ def filter_window(spark, d):
 
 
 SPEC = Filter("host:node user", severity="error", window=Window(datetime(2024, 1, 2), None))
+FIELD_ROWS = """, f as (select source, line_no, case k when 1 then ['host', 'tag', 'pid'] when 2 then ['host', 'tag', 'pid'] when 3 then ['host', 'user', 'request', 'status', 'size'] when 4 then ['time', 'severity', 'msg', 'user.id'] end as keys,
+  case k when 1 then [host, 'app', (event_id % 1000)::varchar] when 2 then [host, 'app', (event_id % 1000)::varchar] when 3 then [host, 'u' || user_id, message, status, (event_id % 5000)::varchar]
+    when 4 then [strftime(ts0, '%Y-%m-%dT%H:%M:%SZ'), lower(lv), message, user_id::varchar] end as vals from line where k in (1, 2, 3, 4)),
+field as (select source, line_no, unnest(keys) as key, unnest(vals) as value from f) """
+VOCABULARY = BASE + FIELD_ROWS + "select key as name from field union select unnest(['host','tag','pid','msgid','ident','user','request','status','size','node'])"
 OUTCOME = """case when host is null then 'mf' when not contains(host, 'node') then 'f' when not contains(lower(message), 'user') then 'q' when level is null then 'ml' when level not in ('ERROR', 'CRITICAL') then 's'
   when ts is null then 'mt' when ts < timestamp '2024-01-02' then 't' else 'k' end"""
 
@@ -127,7 +132,7 @@ def match_count(spark, d):
     return entries(spark, d).agg(F.count_if(filtering.matches(Filter("user 1"))).alias("n"))
 
 
-@query("select unnest(['host','tag','pid','msgid','ident','user','request','status','size','node','time','severity','msg','user.id']) as name")
+@query(VOCABULARY)
 def field_vocabulary(spark, d):
     return filtering.field_names(parsed(spark, d))
 
@@ -140,10 +145,10 @@ def timeline_levels(spark, d):
     return tl.timeline(entries(spark, d), 24)
 
 
-@query("""with b as (select ts, user_id from (select date_trunc('second', ts) as ts, user_id from events) where user_id = 3), r as (select min(ts) as lo, greatest(1, date_diff('second', min(ts), max(ts))) // 100 + 1 as step, date_diff('second', min(ts), max(ts)) as span from b),
+@query("""with b as (select ts, user_id from (select date_trunc('second', ts) as ts, user_id from events)), r as (select min(ts) as lo, greatest(1, date_diff('second', min(ts), max(ts))) // 100 + 1 as step, date_diff('second', min(ts), max(ts)) as span from b),
 c as (select date_diff('second', lo, ts) // step as bucket, count(*) as n from b, r group by 1) select span // step + 1 as buckets, span // step + 1 - (select count(*) from c) as empty, (select sum(n) from c)::bigint as total, (select max(n) from c) as peak from r""")
 def timeline_gaps(spark, d):
-    e = events(spark, d).where("user_id = 3").withColumn("level", F.lit("INFO"))
+    e = events(spark, d).withColumn("level", F.lit("INFO"))
     return tl.timeline(e, 100).agg(F.count("*").alias("buckets"), F.count_if(F.col("n") == 0).alias("empty"), F.sum("n").alias("total"), F.max("n").alias("peak"))
 
 
@@ -211,11 +216,13 @@ def watch_rules(spark, d):
     return e.select("line_no", F.concat_ws(",", "hits").alias("hits"))
 
 
-@query(BASE + """, h as (select date_trunc('second', t) as at, row_number() over (order by t, line_no) as i from entry where level = 'ERROR' and format_name <> 'raw')
-select count(*) as hits from h""")
+@query(BASE + """select rule, count(*) as pending from (select unnest([case when contains(message, 'event 7') then 'seven' end, case when status = '404' then 'lost' end,
+  case when contains(host, 'node1') then 'node' end]) as rule from entry) where rule is not null group by rule""")
 def watch_pending(spark, d):
-    e = entries(spark, d).where("level = 'ERROR' and format_name != 'raw'")
-    return e.agg(F.count("*").alias("hits"))
+    """The hits of each rule over all entries; rules without terms, or that cannot be understood, have none."""
+    rules = {"seven": Filter("event 7"), "lost": Filter("status=404"), "node": Filter("host:node1"), "empty": Filter(""), "broken": Filter("[")}
+    hits = views.watch_hits(entries(spark, d), rules)
+    return hits.select(F.explode("hits").alias("rule")).groupBy("rule").agg(F.count("*").alias("pending"))
 
 
 @query()
@@ -224,10 +231,10 @@ def watch_rate_limit(spark, d):
     return views.rate_limited(hits, 3600.0)
 
 
-@query(BASE + "select source, line_no from entry where format_name = 'python-logging' and source = 'src0' and event_id < 400")
+@query(BASE + "select source, line_no from entry where format_name = 'python-logging' and source = 'src0'")
 def marked_lines(spark, d):
     e = entries(spark, d)
-    marks = e.where("format_name = 'python-logging' and source = 'src0' and event_id < 400").select("source", views.digest().alias("digest"))
+    marks = e.where("format_name = 'python-logging' and source = 'src0'").select("source", views.digest().alias("digest"))
     return views.marked(e, marks).select("source", "line_no")
 
 
@@ -241,19 +248,20 @@ def next_match(spark, d):
     return views.steps(entries(spark, d), Filter("event 9"), "line_no")
 
 
-@query(BASE + "select source, arg_max(level, list_position(['TRACE','DEBUG','INFO','NOTICE','WARN','ERROR','CRITICAL'], level)) as worst from entry where event_id % 7 = 0 group by source")
+@query(BASE + "select source, arg_max(level, list_position(['TRACE','DEBUG','INFO','NOTICE','WARN','ERROR','CRITICAL'], level)) as worst from entry group by source")
 def level_worst_by_source(spark, d):
-    return entries(spark, d).where("event_id % 7 = 0").groupBy("source").agg(T.worst_level(F.col("level")).alias("worst"))
+    return entries(spark, d).groupBy("source").agg(T.worst_level(F.col("level")).alias("worst"))
 
 
-@query(BASE + "select true as has_time, true as has_date, false as has_fraction, true as has_level, true as has_source, true as varies_host, true as varies_status, false as varies_ident")
+@query(BASE + """select bool_or(ts is not null) as has_time, count(distinct ts::date) > 1 as has_date, bool_or(date_part('microsecond', ts) % 1000000 <> 0) as has_fraction, bool_or(level is not null) as has_level,
+  count(distinct source) > 1 as has_source, count(distinct host) > 1 as varies_host, count(distinct status) > 1 as varies_status, false as varies_ident from entry""")
 def column_plan(spark, d):
     return views.column_plan(entries(spark, d), ("host", "status", "ident"))
 
 
-@query(BASE + "select source, line_no, unnest(['status', 'user', 'host']) as key, unnest([status, 'u' || user_id, host]) as value from line where k = 3")
+@query(BASE + FIELD_ROWS + "select source, line_no, key, value from field")
 def field_properties(spark, d):
-    return views.properties(parsed(spark, d).where("format_name = 'access-log'")).where("key in ('status', 'user', 'host')")
+    return views.properties(parsed(spark, d))
 
 
 @query("select event_id, 'JSON' as label from events where json_valid(props)")
@@ -293,13 +301,29 @@ def redact_stage(spark, d):
     return run_stages(docs, [lambda df, ctx: df.withColumn("text", F.regexp_replace("text", "[0-9]+", "<n>"))])
 
 
-@query("select conv_id, turn, row_number() over (order by turn, conv_id) - 1 as pos from (select distinct conv_id, turn from conversations)")
+@query("""with c as (select distinct conv_id, turn, role from conversations), s as (select *, 10000 * conv_id + turn as line_no, case when turn % 3 <> 1 then timestamp '2024-01-01' + to_seconds(conv_id % 7 + 60 * turn) end as ts,
+  case role when 'system' then 0 when 'user' then 1 else 2 end as source_idx from c),
+m as (select *, last_value(ts ignore nulls) over (partition by source_idx, role order by line_no rows unbounded preceding) as moment from s)
+select conv_id, turn, role, row_number() over (order by (moment is not null)::int, moment, source_idx, line_no) - 1 as pos, ts is null as anchored from m""")
 def merge_conversations(spark, d):
-    from .plans.positions import with_position
-
-    return with_position(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn").distinct(), "turn", "conv_id")
+    """Turns as lines of a source for each role, every third one without a stamp, merged by time."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role").distinct()
+    stamp = F.timestamp_add("SECOND", F.col("conv_id") % 7 + 60 * F.col("turn"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    lines = turns.select("conv_id", "turn", "role", F.col("role").alias("source"), F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2).alias("source_idx"),
+                         (10000 * F.col("conv_id") + F.col("turn")).alias("line_no"), F.when(F.col("turn") % 3 != 1, stamp).alias("ts"), F.lit(None).cast("int").alias("ts_offset_s"))
+    return merge.merged(lines).select("conv_id", "turn", "role", "pos", "anchored")
+
+
+RAW = """, written as (select *, 'event ' || event_id || ' by user ' || user_id as body, case lv when 'ERROR' then '3' when 'WARN' then '4' when 'NOTICE' then '5' when 'INFO' then '6' when 'DEBUG' then '7' end as sev, strftime(t, '%Y-%m-%d %H:%M:%S') as iso from line),
+raws as (select *, case k when 0 then iso || ' - ' || lv || ' - ' || body
+  when 1 then strftime(t, '%b') || ' ' || lpad(day(t)::varchar, 2, ' ') || strftime(t, ' %H:%M:%S ') || host || ' app[' || (event_id % 1000) || ']: [' || lv || '] ' || body
+  when 2 then '<' || (128 + sev::int) || '>1 ' || strftime(t, '%Y-%m-%dT%H:%M:%SZ ') || host || ' app ' || (event_id % 1000) || ' - - ' || body
+  when 3 then host || ' - u' || user_id || strftime(t, ' [%d/%b/%Y:%H:%M:%S +0000] "GET /event/') || event_id || ' HTTP/1.1" ' || status || ' ' || (event_id % 5000)
+  when 4 then '{"time":"' || strftime(t, '%Y-%m-%dT%H:%M:%SZ') || '","severity":"' || lower(lv) || '","msg":"' || body || '","user":{"id":' || user_id || '}}'
+  when 5 then '[' || iso || '] [' || lower(lv) || '] ' || body when 6 then strftime(t, '%Y-%m-%dT%H:%M:%S+02:00 ') || body else message end as raw from written)
+"""
 
 
-@query(BASE + ", r as (select *, sum(octet_length(encode(message)) + 1) over (partition by source order by line_no desc rows unbounded preceding) as b from line where k in (7, 99)) select source, line_no from r where b <= 2000")
+@query(BASE + RAW + ", r as (select *, sum(octet_length(encode(raw)) + 1) over (partition by source order by line_no desc rows unbounded preceding) as b from raws) select source, line_no, raw from r where b <= 5000")
 def copy_suffix(spark, d):
-    return views.byte_suffix(parsed(spark, d).where("format_name = 'raw'"), 2000).select("source", "line_no")
+    return views.byte_suffix(parsed(spark, d), 5000).select("source", "line_no", "raw")

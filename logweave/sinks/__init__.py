@@ -49,7 +49,7 @@ def clustered(clusters: DataFrame) -> DataFrame:
 
 
 def write(entries: DataFrame, path: str, kind: str) -> None:
-    """Writes to a staging folder beside the path and moves it there when it is whole."""
+    """Writes to a staging folder beside the path and moves it there when it is whole; what stood there goes last."""
     spark = entries.sparkSession
     stage = f"{path}.staging-{uuid.uuid4().hex}"
     if kind == "jsonl":
@@ -60,5 +60,13 @@ def write(entries: DataFrame, path: str, kind: str) -> None:
         entries.select("raw").write.text(stage)
     Path = spark._jvm.org.apache.hadoop.fs.Path
     fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(Path(path), True)
-    fs.rename(Path(stage), Path(path))
+    old = Path(f"{stage}.old")
+    before = fs.exists(Path(path))
+    if before and not fs.rename(Path(path), old):
+        raise OSError(f"{path} cannot be replaced")
+    if not fs.rename(Path(stage), Path(path)):
+        if before:
+            fs.rename(old, Path(path))
+        raise OSError(f"{path} cannot be written")
+    if before:
+        fs.delete(old, True)
