@@ -7,18 +7,30 @@ from ..functions import text as T
 from ..functions.fixed import LOOKBACK
 
 
-def with_clusters(entries: DataFrame, lookback: int = LOOKBACK, pos: str = "pos") -> DataFrame:
-    """Adds shape and island; a cluster is (source, level, shape, island).
+def with_clusters(entries: DataFrame, lookback: int = LOOKBACK, pos: str = "pos", segment: int = 1_000_000) -> DataFrame:
+    """Adds shape and island; a cluster is (source, level, shape, island), an island the place of its first row.
 
     pos numbers the rows of the view, after filter and merge.  A row opens a cluster where its shape was last seen
-    more than `lookback` rows before.
+    more than `lookback` rows before.  The fold runs inside segments of `segment` places, so that a shape that recurs
+    in every line is not one task; only the last places of each segment and shape are folded further.
     """
     body = F.when(F.col("message") == "", F.col("raw")).otherwise(F.coalesce("message", "raw"))
     keys = ["source", "level", "shape"]
-    order = Window.partitionBy(*keys).orderBy(pos)
-    out = entries.withColumn("shape", T.normalised(body))
-    fresh = F.coalesce((F.col(pos) - F.lag(pos).over(order) > max(2, lookback)).cast("int"), F.lit(1))
-    return out.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    inside = Window.partitionBy(*keys, "_segment").orderBy(pos)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy("_segment")
+    far = lambda before: F.col(pos) - before > max(2, lookback)
+    rows = entries.withColumn("shape", T.normalised(body)).withColumn("_segment", F.floor(F.col(pos) / segment))
+    rows = rows.withColumn("_before", F.lag(pos).over(inside))
+    # a segment's first row of a shape is judged by the last place in the segments before it
+    opens = F.when(far(F.col("_before")), F.col(pos))
+    ends = rows.groupBy(*keys, "_segment").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"), F.max(opens).alias("_opened"))
+    ends = ends.withColumn("_open", F.coalesce(F.col("_first") - F.lag("_last").over(across) > max(2, lookback), F.lit(True)))
+    ends = ends.withColumn("_start", F.last(F.when(F.col("_open"), F.coalesce("_opened", "_first")).otherwise(F.col("_opened")), ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_segment").alias("_of"), F.when(F.col("_open"), F.col("_first")).otherwise(F.col("_start")).alias("_start"))
+    same = [F.col("_segment") == F.col("_of"), *(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)]
+    out = rows.withColumn("_opened", F.last(opens, ignorenulls=True).over(so_far)).join(ends, same)
+    return out.withColumn("island", F.coalesce("_opened", "_start")).drop("_segment", "_before", "_opened", "_of", "_start", *(f"_{k}" for k in keys))
 
 
 def summaries(entries: DataFrame, lookback: int = LOOKBACK, pos: str = "pos") -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.positions import carried, with_position
+from ..plans.positions import carried, saved, with_position
 
 
 def with_moment(entries: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def merged(entries: DataFrame, facts: DataFrame | None = None, name: str = "pos"
 
     A row without a stamp stands at the last moment of its source before it, or in front where there is none.
     """
-    stamped = with_moment(entries, facts)
+    stamped = with_moment(saved(entries), facts)  # read for the kind of its stamps first
     out = carried(stamped, {"_anchor": F.col("moment")}, ["source", "source_idx"], "line_no")
     out = out.withColumns({"rank": F.col("_anchor").isNotNull().cast("int"), "anchored": F.col("ts").isNull(), "moment": F.col("_anchor")}).drop("_anchor")
     return with_position(out, "rank", "moment", "source_idx", "line_no", name=name)

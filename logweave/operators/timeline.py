@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.positions import saved
 from ..plans.query import Window
 
 
@@ -15,18 +16,19 @@ def step_seconds(span: int, width: int) -> int:
 def timeline(entries: DataFrame, width: int = 60, at: str = "ts") -> DataFrame:
     """(bucket, bucket_start, bucket_end, n, worst_level) for each bucket, empty ones too; no rows without stamps.
 
-    The first pass brings two values to the driver; the second is one partial aggregation by bucket.
+    One pass counts by whole second, and everything else rests on those few rows; two values reach the driver.
     """
     spark = entries.sparkSession
-    low, high = entries.agg(F.min(at), F.max(at)).first()
-    if low is None:
+    second = F.date_trunc("second", F.col(at)).cast("timestamp_ntz")
+    seconds = saved(entries.where(F.col(at).isNotNull()).groupBy(second.alias("at")).agg(F.count("*").alias("n"), T.worst_level(F.col("level")).alias("level")))
+    origin, high = seconds.agg(F.min("at"), F.max("at")).first()
+    if origin is None:
         return spark.createDataFrame([], "bucket long, bucket_start timestamp_ntz, bucket_end timestamp_ntz, n long, worst_level string")
-    origin = low.replace(microsecond=0)
     span = int((high - origin).total_seconds())
     step = step_seconds(span, width)
     start = F.lit(str(origin)).cast("timestamp_ntz")
-    bucket = F.floor((F.col(at) - start).cast("interval second").cast("decimal(20,6)") / step)
-    counts = entries.where(F.col(at).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), T.worst_level(F.col("level")).alias("worst_level"))
+    bucket = F.floor((F.col("at") - start).cast("interval second").cast("decimal(20,6)") / step)
+    counts = seconds.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), T.worst_level(F.col("level")).alias("worst_level"))
     grid = spark.range(span // step + 1).withColumnRenamed("id", "bucket")
     moved = lambda k: F.timestamp_add("SECOND", (F.col("bucket") + k) * step, start)
     return grid.join(counts, "bucket", "left").select("bucket", moved(0).alias("bucket_start"), moved(1).alias("bucket_end"), F.coalesce("n", F.lit(0)).alias("n"), "worst_level")

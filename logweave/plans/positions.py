@@ -39,7 +39,8 @@ def carried(df: DataFrame, values: dict, keys, order: str, segment: int = 1_000_
     The fold runs inside segments of `segment` places, so that one long source is not one task; each segment starts
     from the last values of the segments before it.
     """
-    df = df.withColumns({f"_v_{n}": c for n, c in values.items()}).withColumn("_segment", F.floor(F.col(order) / segment))
+    # read twice: written once, so that what df rests on (parsing, as a rule) is not worked out again
+    df = saved(df.withColumns({f"_v_{n}": c for n, c in values.items()}).withColumn("_segment", F.floor(F.col(order) / segment)))
     inside = Window.partitionBy(*keys, "_segment").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     ends = df.groupBy(*keys, "_segment").agg(*(F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_e_{n}") for n in values))

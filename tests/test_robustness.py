@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logweave import sinks
 from logweave.functions.jsonline import read_line
-from logweave.operators import merge, views
+from logweave.operators import cluster, merge, views
 from logweave.plans.parse import parse_lines
 
 
@@ -69,3 +69,21 @@ def test_exports_replace_one_another(spark, tmp_path):
         rows = parse_lines(spark.range(n).select(F.format_string("line %d", "id").alias("raw")))
         sinks.write(rows, path, "raw")
         assert spark.read.text(path).count() == n and os.listdir(tmp_path) == ["out"]
+
+
+def test_clusters_do_not_depend_on_segments(spark):
+    rows = [(f"s{i % 2}", "ERROR" if i % 5 else None, "job 1 ok" if i % 3 else f"word{i % 4} x", i) for i in range(400) if i % 37 > 9]
+    df = spark.createDataFrame([(a, b, c, c, n, None, "raw") for a, b, c, n in rows], "source string, level string, raw string, message string, pos long, ts timestamp_ntz, format_name string")
+    want = None
+    for segment in (1_000_000, 7, 50):
+        marked = cluster.with_clusters(df, 6, segment=segment)
+        got = sorted((r.pos, r.island) for r in marked.select("pos", "island").collect())
+        want = want or got
+        assert got == want
+    last, opened = {}, {}
+    for (source, level, raw, n), (pos, island) in zip(rows, want):
+        key = source, level, raw.rstrip(" xok") if raw.startswith("word") else "job"
+        if n - last.get(key, -99) > 6:
+            opened[key] = n
+        last[key] = n
+        assert (pos, island) == (n, opened[key])
