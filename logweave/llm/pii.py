@@ -1,11 +1,12 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from what they find.
 
 Only DataFrame functions run here.  The base patterns find e-mail addresses, IP addresses, card and phone numbers.
-Those seeds induce lexical patterns, the word before them; Spark scores the graph of patterns and instances in turns:
-a pattern is as reliable as the instances it precedes, an instance as the patterns before it.  Reliable patterns then
-mark identifier-like tokens that no base pattern takes.
+Those seeds induce lexical patterns: the word or the two words before them, the word behind, the words on both sides,
+in lower case and with digits alike.  Spark scores the graph of patterns and instances in turns until no further
+pattern is trusted: a pattern is as reliable as its instances, an instance as its patterns.  Reliable patterns then mark
+identifier-like tokens that no base pattern takes.
 
-All trusted patterns are kept, as rows: identifier-like tokens are joined with them by the word before, and what they
+All trusted patterns are kept, as rows: identifier-like tokens are joined with them by their contexts, and what they
 mark goes back to the texts by two hashes of the text.  Few patterns are broadcast; many are joined in SALTS parts, so
 that a word that stands before many tokens is spread.  Instances and patterns stay distributed.
 
@@ -95,18 +96,39 @@ def written(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
 
 
-def word_before(text, start):
-    """The word before a place, in lower case; empty where there is none.  Short stretches are tried first."""
+def plain_words(words):
+    """In lower case, digits alike: the class of a context."""
+    return F.regexp_replace(F.lower(words), "[0-9]", "0")
+
+
+def words_before(text, start, number):
+    """The words before a place, one space between them; empty where there are fewer.  Short stretches are tried first."""
+    word, blank = r"(\S++)\s++", r"\s"
+
+    def found_in(stretch, first):
+        parts = [F.regexp_extract(stretch, first + word * number + "$", i + 1) for i in range(number)]
+        return F.when(parts[0] != "", F.concat_ws(" ", *parts)).otherwise("")
+
     def near(n):
-        return F.substring(text, F.greatest(start - (n - 1), F.lit(1)), F.least(start, F.lit(n)))
+        return found_in(F.substring(text, F.greatest(start - (n - 1), F.lit(1)), F.least(start, F.lit(n))), blank)
 
-    def whole(n):
-        return F.regexp_extract(near(n), r"\s(\S++)\s++$", 1)
+    whole = found_in(F.substring(text, F.lit(1), start), r"(?<!\S)")
+    out = F.when(near(64) != "", near(64)).when((start > 64) & (near(4096) != ""), near(4096)).otherwise(whole)
+    return F.when((start > 0) & F.substring(text, start, F.lit(1)).rlike(blank), out).otherwise("")
 
-    word = F.regexp_extract(F.substring(text, F.lit(1), start), r"(?<!\S)(\S++)\s++$", 1)
-    for n in (4096, 48):
-        word = F.when((start > n) & (whole(n) != ""), whole(n)).when(start > n, word).otherwise(F.regexp_extract(near(n), r"(?<!\S)(\S++)\s++$", 1))
-    return F.when(F.substring(text, start, F.lit(1)).rlike(r"\s"), F.lower(word)).otherwise("")
+
+def word_after(text, end):
+    """The word behind the one that a place ends in; empty where there is none."""
+    near = lambda n: F.regexp_extract(F.substring(text, end + 1, F.lit(n)), r"^\S*+\s++(\S++)\s", 1)
+    whole = F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^\S*+\s++(\S++)", 1)
+    return F.when(near(64) != "", near(64)).when(near(4096) != "", near(4096)).otherwise(whole)
+
+
+def contexts(text, start, end):
+    """Patterns that a place stands in: the word before, the two words before, the word behind, the words on both sides."""
+    one, two, behind = plain_words(words_before(text, start, 1)), plain_words(words_before(text, start, 2)), plain_words(word_after(text, end))
+    told = lambda sign, test, *parts: F.when(test, F.concat_ws(" ", F.lit(sign), *parts))
+    return F.array_compact(F.array(told("<1", one != "", one), told("<2", two != "", two), told(">1", behind != "", behind), told("<>", (one != "") & (behind != ""), one, behind)))
 
 
 def candidates(text, base):
@@ -119,7 +141,7 @@ def candidates(text, base):
 
     def trimmed(s):
         start, value = s["start"] + lead(s["value"]), bare(s["value"])
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), word_before(text, s["start"]).alias("before"))
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), contexts(text, s["start"], s["end"]).alias("patterns"))
 
     return F.filter(F.transform(slots, trimmed), lambda s: reduce(lambda a, b: a | b, (s["value"].rlike(SHAPES[k]) for k in KINDS)))
 
@@ -131,41 +153,52 @@ def with_base(docs, key, text, *others):
 
 
 def occurrences(rows):
-    """(pattern, value, kind or null, times): seeds with their kind, other identifier-like tokens without."""
+    """(pattern, value, kind or null), distinct: seeds with their kind, other identifier-like tokens without."""
     def seeds(kind):
-        return F.transform(F.col(kind), lambda s: F.struct(word_before(F.col("text"), s["start"]).alias("pattern"), F.lower(s["value"]).alias("value"), F.lit(kind).alias("kind")))
+        return F.transform(F.col(kind), lambda s: F.struct(contexts(F.col("text"), s["start"], s["end"]).alias("patterns"), F.lower(s["value"]).alias("value"), F.lit(kind).alias("kind")))
 
-    unseen = F.transform(candidates(F.col("text"), F.col("base")), lambda s: F.struct(s["before"].alias("pattern"), F.lower(s["value"]).alias("value"), F.lit(None).cast("string").alias("kind")))
-    each = rows.select(F.explode(F.concat(*map(seeds, KINDS), unseen)).alias("o")).select("o.*").where("pattern != ''")
-    return each.groupBy("pattern", "value", "kind").agg(F.count("*").alias("times"))
+    unseen = F.transform(candidates(F.col("text"), F.col("base")), lambda s: F.struct(s["patterns"].alias("patterns"), F.lower(s["value"]).alias("value"), F.lit(None).cast("string").alias("kind")))
+    each = rows.select(F.explode(F.concat(*map(seeds, KINDS), unseen)).alias("o")).select(F.explode("o.patterns").alias("pattern"), "o.value", "o.kind")
+    return each.groupBy("pattern", "value", "kind").agg(F.count("*").alias("times")).drop("times")
 
 
-def score_patterns(graph, turns=3):
-    """(pattern, kind, support, reliability) after some turns over the graph.
+def score_patterns(seeds, unseen, before, scores):
+    """(pattern, kind, support, all, reliability) after one more turn over the graph.
 
-    A pattern's reliability for a kind is the mean score of the distinct instances behind it; a seed scores 1 for its
-    kind and 0 for others, an unseen instance the mean reliability of the patterns before it.
+    A pattern's reliability for a kind is the mean score of the distinct instances in it; a seed scores 1 for its kind
+    and 0 for others, an unseen instance the mean reliability of its patterns, for kinds whose shape it has.
+    """
+    met = unseen.join(scores.select("pattern", "kind", "reliability"), "pattern")
+    met = met.where(reduce(lambda a, b: a | b, ((F.col("kind") == k) & F.col("value").rlike(SHAPES[k]) for k in KINDS)))
+    values = met.groupBy("value", "kind").agg(F.sum("reliability").alias("sum")).join(before, "value")
+    values = values.select("value", "kind", (F.col("sum") / F.col("patterns")).alias("score"))
+    gained = unseen.join(values, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("gain"))
+    out = seeds.join(gained, ["pattern", "kind"], "left")
+    return out.select("pattern", "kind", "support", "all", ((F.col("support") + F.coalesce("gain", F.lit(0.0))) / F.col("all")).alias("reliability"))
+
+
+def learn_patterns(rows, least_support=5, least_reliability=0.8):
+    """(pattern, kind, reliability) of all that are trusted: the turns end when one trusts no further pattern.
+
+    Reliabilities only grow from turn to turn, so that trusted patterns stay trusted and the turns come to an end.
     """
-    instances = graph.groupBy("pattern").agg(F.count("*").alias("all"))
-    seeds = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("support"))
-    unseen = graph.where("kind is null").select("pattern", "value")
-    scores = seeds.join(instances, "pattern").withColumn("reliability", F.col("support") / F.col("all"))
-    for _ in range(turns - 1):
-        known = scores.select("pattern", "kind", "reliability")
-        before = unseen.groupBy("value").agg(F.count("*").alias("patterns"))
-        values = unseen.join(known, "pattern").groupBy("value", "kind").agg(F.sum("reliability").alias("sum"))
-        values = values.join(before, "value").select("value", "kind", (F.col("sum") / F.col("patterns")).alias("score"))
-        gained = unseen.join(values, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("gain"))
-        scores = seeds.join(instances, "pattern").join(gained, ["pattern", "kind"], "left")
-        scores = scores.withColumn("reliability", (F.col("support") + F.coalesce("gain", F.lit(0.0))) / F.col("all"))
-    return scores.select("pattern", "kind", "support", "reliability")
-
-
-def learn_patterns(rows, turns=3, least_support=8, least_reliability=0.9):
-    """(pattern, kind) of all that are trusted."""
     graph = checkpointed(occurrences(rows))
-    good = score_patterns(graph, turns).where((F.col("support") >= least_support) & (F.col("reliability") >= least_reliability))
-    return checkpointed(good.select("pattern", "kind"))
+    unseen = graph.where("kind is null").select("pattern", "value")
+    instances = graph.groupBy("pattern").agg(F.count("*").alias("all"))
+    seeds = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("support")).where(F.col("support") >= least_support)
+    seeds = checkpointed(seeds.join(instances, "pattern"))
+    before = unseen.groupBy("value").agg(F.count("*").alias("patterns"))
+    good = lambda scores: scores.where(F.col("reliability") >= least_reliability).select("pattern", "kind", "reliability")
+    scores = seeds.withColumn("reliability", F.col("support") / F.col("all"))
+    if unseen.isEmpty():  # nothing that a pattern could mark
+        return good(scores).limit(0)
+    trusted = good(scores).count()
+    while True:
+        scores = checkpointed(score_patterns(seeds, unseen, before, scores))
+        now = good(scores).count()
+        if now == trusted:
+            return good(scores)
+        trusted = now
 
 
 def with_marks(rows):
@@ -175,7 +208,7 @@ def with_marks(rows):
 def marked_tokens(rows, trusted, broadcast):
     """(mark, mark2, more) for each text with tokens behind trusted patterns; more: their (start, kind number, end)."""
     tokens = with_marks(rows).select("mark", "mark2", F.explode(candidates(F.col("text"), F.col("base"))).alias("s"))
-    tokens = tokens.select("mark", "mark2", "s.start", "s.end", "s.value", F.col("s.before").alias("pattern")).where("pattern != ''")
+    tokens = tokens.select("mark", "mark2", "s.start", "s.end", "s.value", F.explode("s.patterns").alias("pattern"))
     if broadcast:
         met = tokens.join(F.broadcast(trusted), "pattern")
     else:
@@ -183,7 +216,9 @@ def marked_tokens(rows, trusted, broadcast):
         met = tokens.withColumn("salt", F.pmod(F.xxhash64("mark", "start"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"])
     met = met.where(reduce(lambda a, b: a | b, ((F.col("kind") == k) & F.col("value").rlike(SHAPES[k]) for k in KINDS)))
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    return met.groupBy("mark", "mark2").agg(F.collect_set(F.struct("start", number.alias("kind"), "end")).alias("more"))
+    # a token that patterns of several kinds mark is of the most reliable one, and of the first kind among equals
+    best = met.groupBy("mark", "mark2", "start", "end").agg(F.max(F.struct("reliability", (-number).alias("kind"))).alias("best"))
+    return best.groupBy("mark", "mark2").agg(F.collect_set(F.struct("start", (-F.col("best.kind")).cast("int").alias("kind"), "end")).alias("more"))
 
 
 def find_pii(docs: DataFrame, key="doc_id", text="text", most_broadcast=100_000, **how) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from logweave.llm.pii import find_pii, op1_pii, redact_documents, written
+from logweave.llm.pii import KINDS, SHAPES, find_pii, op1_pii, redact_documents, written
 
 from .util import corpus, documents
 
@@ -71,3 +71,76 @@ def test_all_trusted_contexts_count_however_many_long_or_far(spark):
     for most in (100_000, 0):
         rows = find_pii(documents(spark, texts), most_broadcast=most).select("doc_id", written(F.col("spans")).alias("s")).collect()
         assert len(rows) == len(texts) and [r.s for r in sorted(rows, key=lambda r: r.doc_id)[first:]] == want
+
+
+SHAPE = {k: re.compile(p) for k, p in SHAPES.items()}
+
+
+def plain_contexts(text, start, end):
+    norm = lambda w: re.sub("[0-9]", "0", w.lower())
+    left = text[:start].split() if start and text[start - 1].isspace() else []
+    behind = re.match(r"\S*\s+(\S+)", text[end:])
+    out = [f"<1 {norm(left[-1])}"] if left else []
+    out += [f"<2 {norm(left[-2])} {norm(left[-1])}"] if len(left) > 1 else []
+    out += [f">1 {norm(behind[1])}"] if behind else []
+    return out + ([f"<> {norm(left[-1])} {norm(behind[1])}"] if left and behind else [])
+
+
+def plain_spans(texts, least_support=5, least_reliability=0.8):
+    """What find_pii gives, by dictionaries and loops."""
+    graph, tokens = set(), []
+    for i, t in enumerate(texts):
+        spans = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in base(t).split(",") if x)]
+        graph |= {(p, t[a:b].lower(), k) for a, k, b in spans for p in plain_contexts(t, a, b)}
+        for m in re.finditer(r"\S*[@0-9]\S*", t):
+            if any(a < m.end() and m.start() < b for a, _, b in spans):
+                continue
+            value = re.sub(r"""^[("'<\[{]+""", "", m[0])
+            start = m.start() + len(m[0]) - len(value)
+            value = re.sub(r"""[)"'>\]}.,;:!?]+$""", "", value)
+            if any(s.match(value) for s in SHAPE.values()):
+                own = plain_contexts(t, m.start(), start + len(value))
+                tokens.append((i, start, value, own))
+                graph |= {(p, value.lower(), None) for p in own}
+    members = {p: sum(q == p for q, _, _ in graph) for p in {g[0] for g in graph}}
+    seeds = {(p, k): sum(g[0] == p and g[2] == k for g in graph) for p, _, k in graph if k}
+    seeds = {x: n for x, n in seeds.items() if n >= least_support}
+    unseen = [(p, v) for p, v, k in graph if k is None]
+    scores, trusted = {x: n / members[x[0]] for x, n in seeds.items()}, -1
+    while trusted != (trusted := sum(r >= least_reliability for r in scores.values())):
+        value = {(v, k): sum(scores.get((p, k), 0) for p, w in unseen if w == v) / sum(w == v for _, w in unseen) for v in {v for _, v in unseen} for k in KINDS if SHAPE[k].match(v)}
+        scores = {(p, k): (n + sum(value.get((v, k), 0) for q, v in unseen if q == p)) / members[p] for (p, k), n in seeds.items()}
+    found = {}
+    for i, start, value, own in tokens:
+        marks = [(scores[p, k], -n) for p in own for n, k in enumerate(KINDS) if scores.get((p, k), 0) >= least_reliability and SHAPE[k].match(value)]
+        if marks:
+            found.setdefault(i, []).append((start, -max(marks)[1], start + len(value)))
+    return [sorted([(int(a), KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in base(t).split(",") if x)] + found.get(i, [])) for i, t in enumerate(texts)]
+
+
+def test_spans_equal_plain_loops_and_planted_identifiers_are_found(spark):
+    rng = random.Random(5)
+    words = [f"v{c}" for c in "abcdefghijklmnop"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    cues = {"email": ("write to", "today"), "ip": ("host", "answers"), "phone": ("ring us", "soon")}
+    seed = {"email": lambda i: f"u{i}@a{i % 7}.example", "ip": lambda i: f"10.0.{i}.7", "phone": lambda i: f"+1 202 555 {1000 + i}"}
+    hidden = {"email": lambda i: f"boss{i}@intranet", "ip": lambda i: f"10-1-{i}-3", "phone": lambda i: f"202-555-{2000 + i}"}
+    texts, planted = [], set()
+    for i in range(60):
+        kind = rng.choice(list(cues))
+        before, behind = cues[kind]
+        texts.append(f"{some(3)} {before} {seed[kind](i)} {behind} {some(2)}")
+    for i in range(30):
+        kind = rng.choice(list(cues))
+        before, behind = cues[kind]
+        near = rng.choice([(before, some(1)), (some(1), behind), (before, behind)])
+        texts.append(f"{some(2)} {near[0]} ({hidden[kind](i)}), {near[1]} {some(1)}")
+        planted.add((len(texts) - 1, texts[-1].index("(") + 1))
+    texts += [f"{some(3)} {hidden[rng.choice(list(cues))](i + 40)} {some(3)}" for i in range(30)] + ["", "12345678", "a@b 4111111111111111"]
+    rows = find_pii(documents(spark, texts)).select("doc_id", "base", "spans").collect()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in rows}
+    want = plain_spans(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    more = {(r.doc_id, s[0]) for r in rows for s in {tuple(x) for x in r.spans} - {tuple(x) for x in r.base}}
+    assert len(more & planted) >= 0.9 * len(planted) and len(more - planted) <= 0.1 * len(more)
+    print("recall", len(more & planted) / len(planted), "precision", len(more & planted) / len(more))
