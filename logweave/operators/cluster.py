@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fixed import LOOKBACK
+from ..plans.positions import saved
 
 
 def with_clusters(entries: DataFrame, lookback: int = LOOKBACK, pos: str = "pos", segment: int = 1_000_000) -> DataFrame:
@@ -21,7 +22,7 @@ def with_clusters(entries: DataFrame, lookback: int = LOOKBACK, pos: str = "pos"
     across = Window.partitionBy(*keys).orderBy("_segment")
     far = lambda before: F.col(pos) - before > max(2, lookback)
     rows = entries.withColumn("shape", T.normalised(body)).withColumn("_segment", F.floor(F.col(pos) / segment))
-    rows = rows.withColumn("_before", F.lag(pos).over(inside))
+    rows = saved(rows.withColumn("_before", F.lag(pos).over(inside)))  # shapes are dear, and read twice
     # a segment's first row of a shape is judged by the last place in the segments before it
     opens = F.when(far(F.col("_before")), F.col(pos))
     ends = rows.groupBy(*keys, "_segment").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"), F.max(opens).alias("_opened"))
