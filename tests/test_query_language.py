@@ -128,7 +128,8 @@ def test_merge_keeps_stray_lines_with_their_source(spark):
 def test_positions_payloads_rates_plugins(spark):
     df = spark.range(500).withColumn("k", (F.col("id") * 7919) % 500)
     assert all(r.pos == r.k for r in with_position(df, "k").collect())
-    assert [views.classify(x)[0] for x in ('{"a":1}', "<a><b/></a>", "<!DOCTYPE html><p>x", "p { color: red }", "a,b\n1,2", "words", None)] == ["JSON", "XML", "HTML", "CSS", "CSV", None, None]
+    kinds = {'{"a":1}': "JSON", "<a><b/></a>": "XML", "<!DOCTYPE html><p>x<br></p>": "HTML", "<!DOCTYPE html><p>x": None, ".p { color: red }": "CSS", "p { color: red }": None, "a,b\n1,2": "CSV", "words": None, None: None}
+    assert {x: views.classify(x)[0] for x in kinds} == kinds
     hits = spark.createDataFrame([("r", NOW + timedelta(seconds=s)) for s in (0, 10, 20, 61, 500)], "rule string, at timestamp_ntz")
     assert [(int((r.at - NOW).total_seconds()), r.n) for r in views.rate_limited(hits, 60.0).orderBy("at").collect()] == [(0, 1), (60, 2), (120, 1), (500, 1)]
     small = spark.createDataFrame([(1, "a"), (2, "b")], "i long, raw string")
