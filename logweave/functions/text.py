@@ -1,6 +1,7 @@
 """Column functions on levels, timestamps, shapes and user patterns."""
 
 import re
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column
@@ -116,7 +117,9 @@ def searched(text: Column, pattern: str, *, regex=True, case_sensitive=None) ->
     java = to_java(pattern)
     if java is not None:
         return text.rlike(java if case else "(?iu)" + java)
-    compiled = re.compile(pattern, 0 if case else re.IGNORECASE)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", FutureWarning)  # on what a pattern may mean one day
+        compiled = re.compile(pattern, 0 if case else re.IGNORECASE)
 
     def by_python(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else compiled.search(v) is not None)
