@@ -6,17 +6,20 @@ steps, all of them lossless:
 
 1. A window of `window` bytes is named by its anchor, the run of `anchor` bytes in it with the least hash, so equal
    windows have equal anchors.  Chunks send their distinct anchors; only those that occur twice matter from here.
-2. Consecutive windows with one anchor are a block.  Chunks send (anchor, block, smallest id).  Wherever a block is not
-   the first of its kind, all its windows start earlier as well.  Interiors of copies are settled by this.
+2. Consecutive windows with one anchor are a block.  Chunks send (block, smallest id).  Wherever a block is not the
+   first of its kind, all its windows start earlier as well.  Interiors of copies are settled by this.  Beside that
+   they send (anchor, its block), or a mark where they know several, which tells whose anchors have several blocks.
 3. Where an anchor has several blocks, as at the ends of copies, the first holder of each block sends its windows'
    hashes with ids, and learns which of them a smaller id holds too.
 
-Buckets get sorted hashes of chunks, not rows of windows, and one entry for each chunk however often a string occurs.
+Buckets get sorted hashes of chunks, not rows of windows, and one entry for each chunk however often a string, a block
+or an anchor occurs: an anchor with a block in every text meets its chunks in a task, not its blocks.
 Inside a chunk matches are exact; across chunks they rest on 64-bit hashes.
 
-Results by case: null and empty texts have nothing to remove; texts under `window` bytes lose nothing; rows that share
-an id (or have none; those come last) lie in one chunk in order of text, so identical rows lose all but the first; bytes that are left need not
-need not be valid UTF-8, so they are binary; an empty table gives an empty result; further columns are ignored.
+Results by case: null and empty texts have nothing to remove; texts under `window` bytes lose nothing; rows without an
+id come last; rows that share an id (or have none) are texts of their own, in order of chunk and text, so that identical
+rows lose all but the first and no id fills a chunk; very long texts are worked on whole; bytes that are left need not
+be valid UTF-8, so they are binary; an empty table gives an empty result; further columns are ignored.
 """
 
 import numpy as np
@@ -30,6 +33,7 @@ from .substring_dedup import by_bucket, count_bucket
 from .suffix_array import repeats
 
 LAST = np.iinfo(np.int64).max
+SEVERAL = np.uint64(0)  # stands for two or more blocks; a block whose hash it is only sends its windows as well
 
 
 class Chunk:
@@ -73,6 +77,10 @@ class Chunk:
         at = self.starts[numbers]
         return span_hashes(self.prefix, at, at + self.window, self.powers)
 
+    def open_blocks(self, answers):
+        """Which blocks are the first of their kind and share their anchor with others."""
+        return in_sorted(self.anchors, told(answers, "shared")) & ~in_sorted(self.blocks, told(answers, "later"))
+
     def local_repeats(self):
         """Numbers of the windows that also start earlier in this chunk, from the suffixes of blocks whose anchor
         occurs twice in it."""
@@ -108,13 +116,13 @@ def told(answers, kind):
     return np.unique(np.concatenate(blobs)) if blobs else np.zeros(0, np.uint64)
 
 
-def entries_by_bucket(chunk, hashes, blocks, ids, bits):
-    """Rows (bucket, chunk, hashes, blocks, ids) for hashes in ascending order."""
-    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+def entries_by_bucket(chunk, hashes, values, bits, above=0):
+    """Rows (bucket, chunk, hashes, values) for hashes in ascending order; buckets are numbered from `above`."""
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) + above
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
     cut = lambda x: np.split(x, at[1:]) if len(x) else []
     raw = lambda x: pa.array([np.ascontiguousarray(p.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for p in cut(x.view(np.int64))], pa.binary())
-    return pa.table({"bucket": bucket[at], "chunk": np.full(len(at), chunk, np.int64), "hashes": pa.array([pack_sorted(p) for p in cut(hashes)], pa.binary()), "blocks": raw(blocks), "ids": raw(ids)})
+    return pa.table({"bucket": bucket[at], "chunk": np.full(len(at), chunk, np.int64), "hashes": pa.array([pack_sorted(p) for p in cut(hashes)], pa.binary()), "values": raw(values)})
 
 
 def planes(blob):
@@ -128,21 +136,26 @@ def send_blocks(window, anchor, bits):
         elsewhere = told(answers, "a")
         _, which, times = np.unique(c.anchors, return_inverse=True, return_counts=True)
         some = np.flatnonzero(in_sorted(c.anchors, elsewhere) | (times[which] > 1))
-        # the first of each (anchor, block) in the chunk's order, which is that of ids
-        order = some[np.lexsort((some, c.blocks[some], c.anchors[some]))]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (c.anchors[order][1:] != c.anchors[order][:-1]) | (c.blocks[order][1:] != c.blocks[order][:-1])
-        order = order[fresh]
-        return entries_by_bucket(key[0].as_py(), c.anchors[order], c.blocks[order], c.ids[c.doc[c.first[order]]], bits)
+        # the first of each block in the chunk's order, which is that of ids
+        order = some[np.lexsort((some, c.blocks[some]))]
+        order = order[np.diff(c.blocks[order], prepend=~c.blocks[order[:1]]) != 0]
+        firsts = entries_by_bucket(key[0].as_py(), c.blocks[order], c.ids[c.doc[c.first[order]]], bits)
+        # each anchor with its block, or SEVERAL
+        order = order[np.lexsort((c.blocks[order], c.anchors[order]))]
+        head = np.flatnonzero(np.diff(c.anchors[order], prepend=~c.anchors[order[:1]]) != 0)
+        single = np.diff(np.append(head, len(order))) == 1
+        only = np.where(single, c.blocks[order][head], SEVERAL)
+        return pa.concat_tables([firsts, entries_by_bucket(key[0].as_py(), c.anchors[order][head], only, bits, 1 << bits)])
 
     return send
 
 
 def gathered(rows):
+    """(chunks, numbers of the chunks by entry, hashes, values) of the rows of a bucket."""
     lists = [unpack_sorted(x.as_py()) for x in rows.column("hashes")]
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    blocks, ids = (np.concatenate([np.zeros(0, np.int64), *(planes(x.as_py()) for x in rows.column(c))]) for c in ("blocks", "ids"))
-    return rows.column("chunk").to_numpy(), owner, np.concatenate([np.zeros(0, np.uint64), *lists]), blocks.view(np.uint64), ids
+    values = np.concatenate([np.zeros(0, np.int64), *(planes(x.as_py()) for x in rows.column("values"))])
+    return rows.column("chunk").to_numpy(), owner, np.concatenate([np.zeros(0, np.uint64), *lists]), values
 
 
 def answered(chunks, owner, values, kind):
@@ -153,39 +166,47 @@ def answered(chunks, owner, values, kind):
     return pa.table({"chunk": chunks[who].astype(np.int64), "kind": pa.array([kind] * len(who), pa.string()), "hashes": pa.array(blobs, pa.binary())})
 
 
-def judge_blocks(key, rows):
-    """Tells chunks which blocks are not the first of their kind, and which first ones share their anchor."""
-    chunks, owner, anchors, blocks, ids = gathered(rows)
-    order = np.lexsort((ids, blocks, anchors))
-    owner, anchors, blocks = owner[order], anchors[order], blocks[order]
-    other = np.ones(len(order), bool)
-    other[1:] = anchors[1:] != anchors[:-1]
-    first = other.copy()
-    first[1:] |= blocks[1:] != blocks[:-1]
-    kinds = np.bincount(np.cumsum(other) - 1, first)[np.cumsum(other) - 1] if len(order) else np.zeros(0)
-    later, shared = ~first, first & (kinds > 1)
-    return pa.concat_tables([answered(chunks, owner[later], blocks[later], "later"), answered(chunks, owner[shared], blocks[shared], "shared")])
+def not_first(chunks, owner, hashes, ids):
+    """(owner, hash) of the entries that are not the first of their hash by id, then by chunk."""
+    order = np.lexsort((chunks[owner], ids, hashes))
+    owner, hashes = owner[order], hashes[order]
+    later = np.zeros(len(order), bool)
+    later[1:] = hashes[1:] == hashes[:-1]
+    return owner[later], hashes[later]
+
+
+def judge_blocks(bits):
+    def judge(key, rows):
+        """Tells chunks which blocks are not the first of their kind; in the upper buckets, which anchors have several."""
+        chunks, owner, hashes, values = gathered(rows)
+        if key[0].as_py() < 1 << bits:
+            return answered(chunks, *not_first(chunks, owner, hashes, values), "later")
+        order = np.lexsort((values, hashes))
+        owner, hashes, values = owner[order], hashes[order], values.view(np.uint64)[order]
+        head = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]) != 0)
+        end = np.append(head[1:], len(hashes)) - 1
+        many = (values[head] != values[end]) | (values[head] == SEVERAL)  # SEVERAL is the least value
+        many = np.repeat(many, end - head + 1)
+        return answered(chunks, owner[many], hashes[many], "shared")
+
+    return judge
 
 
 def send_windows(window, anchor, bits):
     def send(key, rows, answers):
         c = Chunk(rows, window, anchor)
-        numbers = c.windows_of(in_sorted(c.blocks, told(answers, "shared")))
+        numbers = c.windows_of(c.open_blocks(answers))
         hashes, at = np.unique(c.window_hashes(numbers), return_index=True)
         ids = c.ids[c.doc[numbers[at]]]
-        return entries_by_bucket(key[0].as_py(), hashes, np.zeros(len(hashes), np.int64), ids, bits)
+        return entries_by_bucket(key[0].as_py(), hashes, ids, bits)
 
     return send
 
 
 def judge_windows(key, rows):
     """Tells chunks which of their windows a smaller id holds in another chunk."""
-    chunks, owner, hashes, _, ids = gathered(rows)
-    order = np.lexsort((ids, hashes))
-    owner, hashes = owner[order], hashes[order]
-    later = np.zeros(len(order), bool)
-    later[1:] = hashes[1:] == hashes[:-1]
-    return answered(chunks, owner[later], hashes[later], "window")
+    chunks, owner, hashes, ids = gathered(rows)
+    return answered(chunks, *not_first(chunks, owner, hashes, ids), "window")
 
 
 def remove(window, anchor):
@@ -193,7 +214,7 @@ def remove(window, anchor):
         c = Chunk(rows, window, anchor)
         gone = np.zeros(len(c.starts), bool)
         gone[c.windows_of(in_sorted(c.blocks, told(answers, "later")))] = True
-        shared = c.windows_of(in_sorted(c.blocks, told(answers, "shared")))
+        shared = c.windows_of(c.open_blocks(answers))
         gone[shared[in_sorted(c.window_hashes(shared), told(answers, "window"))]] = True
         gone[c.local_repeats()] = True
         cover = covered(c.starts[gone], window, len(c.buf))
@@ -224,15 +245,15 @@ def dedup_suffixes(docs: DataFrame, window: int = 100, anchor: int = 76, key: st
     size = text_size(docs, text)
     bits = max(4, (power_of_two(size / (16 << 20)) - 1).bit_length())
     chunks = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    chunks = chunks.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(max(8, size // chunk_bytes + 1)))).repartition(partitions(spark), "chunk")
+    chunks = chunks.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(max(8, size // chunk_bytes + 1)))).repartition(partitions(spark), "chunk")
     by_chunk = lambda answers: chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    entry = "bucket long, chunk long, hashes binary, blocks binary, ids binary"
+    entry = "bucket long, chunk long, hashes binary, values binary"
     answer = "chunk long, kind string, hashes binary"
 
     anchors = chunks.groupBy("chunk").applyInArrow(send_anchors(window, anchor, bits), "bucket long, chunk long, hashes binary")
     twice = anchors.groupBy("bucket").applyInArrow(count_bucket(bits), "chunk long, hashes binary").select("chunk", F.lit("a").alias("kind"), "hashes")
     blocks = by_chunk(twice).applyInArrow(send_blocks(window, anchor, bits), entry)
-    judged = blocks.groupBy("bucket").applyInArrow(judge_blocks, answer)
+    judged = blocks.groupBy("bucket").applyInArrow(judge_blocks(bits), answer)
     windows = by_chunk(judged).applyInArrow(send_windows(window, anchor, bits), entry)
     later = windows.groupBy("bucket").applyInArrow(judge_windows, answer)
     done = by_chunk(judged.unionByName(later)).applyInArrow(remove(window, anchor), "key long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept_bytes binary")

@@ -66,3 +66,17 @@ def test_small_windows_and_edge_tables(spark):
     same = documents(spark, ["q" * 5 + "abcdefghij" * 11] * 3).withColumns({"doc_id": F.lit(None).cast("long"), "chunk": F.lit(1), "key": F.lit(2), "kind": F.lit(3)})
     assert sorted(r.n_removed for r in dedup_suffixes(same).collect()) == [100, 115, 115]
     assert dedup_suffixes(same.where("false")).collect() == []
+
+
+def test_one_of_rows_with_one_id_keeps_a_passage(spark):
+    """Rows that share an id, or have none, lie in many chunks; a passage in all of them stays once."""
+    rng = random.Random(5)
+    passage = prose(rng, 60, 900)[:260]
+    rows = [(k, f"{prose(rng, 12, 900)} {i} |{passage}| {prose(rng, 12, 900)} {i}") for k in (7, None) for i in range(60)]
+    rows += [(3, f"{i}" * 5000) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = [dedup_suffixes(docs.repartition(n), chunk_bytes=2048).collect() for n in (3, 5)]
+    assert sum(passage.encode() in r.kept_bytes for r in one[0]) == 1
+    assert sorted(r.n_removed for r in one[0] if r.doc_id == 3) == [4900, 4900, 4900]
+    key = lambda r: (r.doc_id or 0, bytes(r.kept_bytes), r.n_removed)
+    assert sorted(map(key, one[0])) == sorted(map(key, one[1]))
