@@ -1,12 +1,13 @@
 """Exact top-k search by inner product with block-at-a-time pruning.
 
-Vectors are cut into ranges of `block` documents.  A block keeps the greatest and the smallest value of each term
+Vectors are cut into ranges of `block` documents by id.  A block keeps the greatest and the smallest value of each term
 (dimension) beside its forward index, the plain vectors.  For a query the sum over terms of the greatest
 contribution bounds every score in the block.  A query takes the blocks in order of their bounds, scores whole blocks
 through their forward indexes, and stops where the bound falls below its k-th best score.
 
-The query set is dealt in groups of `query_group` against shards of blocks, so no task holds all vectors or all
-queries; each shard answers with its best k for each query, and a last ranking merges them.
+The query set is dealt in groups of `query_group` against shards, which are ranges of ids too, so no task holds all
+vectors or all queries; each shard answers with its best k for each query, and a last ranking merges them.  Rows that
+share an id are dealt to as many shards as their number needs.
 
 Results by case: vectors that are null or hold null or non-finite components take no part; those of other lengths
 count as padded with zeros; rows with a query's own id are its own row and no candidates; repeated candidate rows
@@ -14,12 +15,14 @@ count each; a null id takes part as a candidate that loses ties; an empty table
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, partitions
 
+LAST = np.iinfo(np.int64).max
 ROWS = "ids binary, nulls binary, vectors binary, rows long, width long"
 
 
@@ -110,6 +113,17 @@ def search_shard(k):
     return answer
 
 
+def shard_of(bounds):
+    """Numbers of ranges of ids; an id that is a bound itself is dealt by hash to the ranges that meet there."""
+    bounds = np.sort(np.array(bounds, np.int64))
+
+    def number(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(bounds, ids.to_numpy(), side) for side in ("left", "right"))
+        return pd.Series(low + hashes.to_numpy() % (high - low + 1))
+
+    return F.pandas_udf(number, "long")
+
+
 def top_k(vectors: DataFrame, is_query, k=20, block=256, query_group=1024, shard_rows=16384, key="vec_id", vector="vector") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k greatest inner products of each query, ties to the smaller id.
 
@@ -123,13 +137,16 @@ def top_k(vectors: DataFrame, is_query, k=20, block=256, query_group=1024, shard
     n, n_asked = rows.count(), asked.count()
     shards, groups = max(1, -(-n // shard_rows), min(partitions(spark), -(-n // (4 * block)))), max(1, -(-n_asked // query_group))
 
-    def dealt(df, of, size, name, others, other):
-        mark = F.pmod(F.xxhash64(F.lit(of), "id", "vector"), F.lit(size))
+    place, mark = F.coalesce("id", F.lit(LAST)), F.xxhash64("id", "vector")
+    parts = [i / shards for i in range(1, shards)]
+    bounds = rows.agg(F.percentile_approx(place, parts, max(10000, 8 * shards))).first()[0] if n and parts else []  # one number a shard
+
+    def dealt(df, mark, name, others, other):
         packed = df.withColumn(name, mark).groupBy(name).applyInArrow(pack_blocks(block, name), f"{name} long, {ROWS}")
         return packed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<long>")))
 
-    left = dealt(asked, "query", groups, "query_part", shards, "shard").groupBy("query_part", "shard")
-    right = dealt(rows, "block", shards, "shard", groups, "query_part").groupBy("query_part", "shard")
+    left = dealt(asked, F.pmod(mark, F.lit(groups)), "query_part", shards, "shard").groupBy("query_part", "shard")
+    right = dealt(rows, shard_of(bounds)(place, mark), "shard", groups, "query_part").groupBy("query_part", "shard")
     found = left.cogroup(right).applyInArrow(search_shard(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

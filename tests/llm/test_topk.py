@@ -48,3 +48,9 @@ def test_query_equals_sql_and_empty_table(spark, tmp_path):
     db.execute(f"create view embeddings as select * from '{path}/embeddings.parquet'")
     assert got == sorted(db.execute(ORACLE).fetchall())
     assert top_k(spark.createDataFrame([], "vec_id long, vector array<double>"), lambda i: i % 20 == 0).collect() == []
+
+
+def test_a_hot_id_is_dealt_to_several_shards(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(100)] + [(55, [float(i), -1.0]) for i in range(200)] + [(None, [float(i), 0.5]) for i in range(200)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, vector array<double>"), lambda i: i % 20 == 0, k=5, block=4, shard_rows=16).collect()
+    assert sorted([(r.query_id, r["rank"], r.vec_id, r.score) for r in got], key=str) == brute(rows, 5)
