@@ -77,6 +77,6 @@ def test_one_of_rows_with_one_id_keeps_a_passage(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one = [dedup_suffixes(docs.repartition(n), chunk_bytes=2048).collect() for n in (3, 5)]
     assert sum(passage.encode() in r.kept_bytes for r in one[0]) == 1
-    assert sorted(r.n_removed for r in one[0] if r.doc_id == 3) == [4900, 4900, 4900]
+    assert [r.n_removed for r in one[0] if r.doc_id == 3] == [4999] * 3  # the windows from byte 1 on repeat the first
     key = lambda r: (r.doc_id or 0, bytes(r.kept_bytes), r.n_removed)
     assert sorted(map(key, one[0])) == sorted(map(key, one[1]))
