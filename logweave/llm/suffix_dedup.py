@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, partitions, power_of_two, text_size
-from .kernels import Powers, byte_prefix, covered, in_sorted, pack_sorted, runs, span_hashes, text_bytes, unpack_sorted
+from .kernels import Powers, byte_prefix, covered, in_sorted, mix64, pack_sorted, runs, span_hashes, text_bytes, unpack_sorted
 from .substring_dedup import by_bucket, count_bucket
 from .suffix_array import repeats
 
@@ -65,7 +65,7 @@ class Chunk:
         place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         edge = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(self.doc, prepend=-1) != 0))
         self.first, self.last = edge, np.append(edge[1:], len(place)) - 1  # numbers of each block's windows
-        self.anchors = hashes[place[edge]]
+        self.anchors = mix64(hashes[place[edge]])  # least hashes are all small; mixed one to one, they fill all buckets
         self.blocks = span_hashes(self.prefix, self.starts[self.first], self.starts[self.last] + window, self.powers)
 
     def windows_of(self, mask):
