@@ -63,3 +63,16 @@ SHAPE_RULES = (
 
 # Default limits.
 LOOKBACK, BUFFER_LINES, MAX_FILES, WATCH_WINDOW = 200, 5000, 5000, 60.0
+
+# Fields of each format that name who spoke, its process, and what is shown behind a line.
+PROFILES = {
+    "syslog": {"source": ("tag",), "pid": "pid", "pinned": (), "chips": ("host",)},
+    "syslog-5424": {"source": ("tag",), "pid": "pid", "pinned": (), "chips": ("host", "msgid")},
+    "access-log": {"source": ("host",), "pid": "", "pinned": ("status",), "chips": ("user", "size")},
+    "json": {
+        "source": ("unit", "logger", "service", "component", "tag", "name"), "pid": "pid", "pinned": (),
+        "chips": ("host", "status", "code", "error", "exception", "method", "path", "duration_ms", "latency_ms", "request_id", "trace_id"),
+    },
+}
+CHIP_WIDTH = 24
+BACKOFF = (1, 2, 5, 15, 30, 60)  # seconds before a source that failed is tried again

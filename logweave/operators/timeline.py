@@ -13,6 +13,13 @@ def step_seconds(span: int, width: int) -> int:
     return max(1, span) // max(1, width) + 1
 
 
+def undated_note(buckets: int, undated: int) -> str:
+    """Why a timeline is empty; nothing if it is not."""
+    if buckets:
+        return ""
+    return f"no timeline: {undated} lines carry no time" if undated else "no timeline: there are no lines"
+
+
 def timeline(entries: DataFrame, width: int = 60, at: str = "ts") -> DataFrame:
     """(bucket, bucket_start, bucket_end, n, worst_level) for each bucket, empty ones too; no rows without stamps.
 

@@ -83,6 +83,11 @@ def retained(marks: DataFrame, entries: DataFrame, sources) -> DataFrame:
     return marks.where(~seen).unionByName(marks.where(seen).join(live, ["source", "digest"], "left_semi"))
 
 
+def marks_by_source(marks: DataFrame) -> DataFrame:
+    """(source, n): how many lines of each source are marked."""
+    return marks.select("source", "digest").distinct().groupBy("source").agg(F.count("*").alias("n"))
+
+
 def watch_hits(entries: DataFrame, rules) -> DataFrame:
     """Adds hits, the names of the rules that a line meets.
 
@@ -136,6 +141,50 @@ def column_plan(entries: DataFrame, keys=()) -> DataFrame:
         F.bool_or(F.col("level").isNotNull()).alias("has_level"), varies(F.col("source")).alias("has_source"), *(varies(F.try_element_at("fields", F.lit(k))).alias(f"varies_{k}") for k in keys))
 
 
+def filled(key: str) -> Column:
+    """A field that is there and not empty."""
+    return F.nullif(F.try_element_at("fields", F.lit(key)), F.lit(""))
+
+
+def row_layout(entries: DataFrame) -> dict:
+    """What rows of a view have to show, read off all of them: all_raw, has_source and the chips that vary."""
+    chips = sorted({c for p in X.PROFILES.values() for c in p["chips"]})
+    varies = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
+    able = lambda key: F.col("format_name").isin([f for f, p in X.PROFILES.items() if key in p["chips"]])
+    found = entries.agg(F.coalesce(F.bool_and(F.col("format_name") == "raw"), F.lit(False)).alias("all_raw"), varies(speaker()["value"]).alias("has_source"), *(varies(F.when(able(c), filled(c))).alias(c) for c in chips)).first()
+    return {"all_raw": found["all_raw"], "has_source": found["has_source"], "varying": {c for c in chips if found[c]}}
+
+
+def by_format(pick) -> Column:
+    """The value of pick(profile) for the profile of a row's format; null for formats without one."""
+    return F.coalesce(*(F.when(F.col("format_name") == name, pick(profile)) for name, profile in X.PROFILES.items()))
+
+
+def speaker() -> Column:
+    """struct(key, value): the first field of its format that says who spoke."""
+    pair = lambda k: F.when(filled(k).isNotNull(), F.struct(F.lit(k).alias("key"), filled(k).alias("value")))
+    return by_format(lambda p: F.coalesce(*(pair(k) for k in p["source"])))
+
+
+def structured_rows(entries: DataFrame, merged: bool = False) -> DataFrame:
+    """Entries with cells in place of their prefix: level_label, speaker, pid, body and chips.
+
+    chips: fields (key, value) worth showing behind the line: pinned ones always, others where they vary in the view.
+    A merged view shows the source in its own cell, so the speaker becomes the first chip there.
+    """
+    varying = row_layout(entries)["varying"]
+    none = F.lit(None).cast("string")
+    cut = lambda c: F.when(F.length(c) > X.CHIP_WIDTH, F.concat(F.substring(c, 1, X.CHIP_WIDTH - 1), F.lit("…"))).otherwise(c)
+    chip = lambda k: F.struct(F.lit(k).alias("key"), cut(filled(k)).alias("value"))
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    first = F.when(speaker().isNotNull(), F.array(F.struct(speaker()["key"].alias("key"), cut(speaker()["value"]).alias("value")))) if merged else None
+    rest = by_format(lambda p: F.concat(empty, F.array(*(chip(k) for k in (*p["pinned"], *(c for c in p["chips"] if c in varying))))))
+    chips = F.filter(F.concat(*([F.coalesce(first, empty)] if merged else []), F.coalesce(rest, empty)), lambda c: c["value"].isNotNull())
+    return entries.withColumns({
+        "level_label": labelled_levels(F.col("level")), "speaker": F.lit(None).cast("string") if merged else speaker()["value"],
+        "pid": none if merged else by_format(lambda p: filled(p["pid"]) if p["pid"] else none), "body": F.coalesce(F.nullif("message", F.lit("")), "raw"), "chips": chips})
+
+
 def properties(entries: DataFrame) -> DataFrame:
     """Fields as rows (source, line_no, key, value)."""
     return entries.select("source", "line_no", F.explode("fields").alias("key", "value"))

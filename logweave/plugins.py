@@ -69,6 +69,23 @@ class Registry:
         self.disabled.add(name)
         self.errors.append((name, reason))
 
+    def source(self, name: str):
+        if name not in self.sources or name in self.disabled:
+            raise StageError(f"{name}: no such source")
+        return self.sources[name]
+
+    def exporter(self, name: str):
+        """An exporter (entries, path) by name, or None."""
+        return None if name in self.disabled else self.exporters.get(name)
+
+    def run(self, name: str, part, *args):
+        """Calls a part; one that fails is disabled, and the failure passed on."""
+        try:
+            return part(*args)
+        except Exception as e:
+            self.disable(name, str(e))
+            raise StageError(f"{name}: {e}") from e
+
     def apply(self, entries: DataFrame, context=None) -> DataFrame:
         for name, stage in self.stages.items():
             if name not in self.disabled:

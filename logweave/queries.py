@@ -259,6 +259,19 @@ def column_plan(spark, d):
     return views.column_plan(entries(spark, d), ("host", "status", "ident"))
 
 
+@query(BASE + """select source, line_no, case when k in (1, 2) then 'app' when k = 3 then host end as speaker, case when k in (1, 2) then (event_id % 1000)::varchar end as pid,
+  case when k in (1, 2) then 'host=' || host when k = 3 then 'status=' || status || ' user=u' || user_id || ' size=' || (event_id % 5000) else '' end as chips, message as body from line""")
+def structured_rows(spark, d):
+    rows = views.structured_rows(parsed(spark, d))
+    return rows.select("source", "line_no", "speaker", "pid", F.array_join(F.transform("chips", lambda c: F.concat_ws("=", c["key"], c["value"])), " ").alias("chips"), "body")
+
+
+@query(BASE + "select source, count(distinct message) as n from line where k = 0 group by source")
+def marks_by_source(spark, d):
+    marks = parsed(spark, d).where("format_name = 'python-logging'").select("source", views.digest().alias("digest"))
+    return views.marks_by_source(marks)
+
+
 @query(BASE + FIELD_ROWS + "select source, line_no, key, value from field")
 def field_properties(spark, d):
     return views.properties(parsed(spark, d))

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def export_name(source, now, node: str = "") -> str:
+    """A name without suffix for an export: machine, source and time; two exports of one log are told apart."""
+    base = (source or "logweave-export").rstrip("/").rsplit("/", 1)[-1]
+    return f"{node + '-' if node else ''}{base}-{now:%Y%m%d-%H%M%S}"
+
+
 def isoformat(ts="ts", offset="ts_offset_s") -> Column:
     """A stamp as Python writes it: the fraction only where there is one, the offset where it is known."""
     base = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

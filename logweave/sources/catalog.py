@@ -43,6 +43,8 @@ class Report:
     skipped: Counter = field(default_factory=Counter)
     truncated: list = field(default_factory=list)
     missing: list = field(default_factory=list)
+    damaged: list = field(default_factory=list)
+    partial: list = field(default_factory=list)  # rotated logs that lack a damaged member
 
     def extend(self, other: "Report") -> None:
         known = {f.path for f in self.files}
@@ -50,10 +52,21 @@ class Report:
         self.skipped += other.skipped
         self.truncated += other.truncated
         self.missing += other.missing
+        self.damaged += other.damaged
+        self.partial += other.partial
+
+    def leave_out(self, damaged) -> None:
+        """Takes damaged files out; rotated logs that they belonged to are partial from then on."""
+        gone = set(damaged)
+        sets, _ = group_rotated(self.files)
+        self.partial += [base for base, members in sets.items() if any(m.path in gone for m in members)]
+        self.files = [f for f in self.files if f.path not in gone]
+        self.damaged += sorted(gone)
+        self.skipped["damaged"] += len(gone)
 
     def summary(self):
         out = [f"{len(self.files)} files"] + [f"{n} skipped: {why}" for why, n in sorted(self.skipped.items())]
-        return out + [f"{r}: only the first files" for r in self.truncated] + [f"{r}: not there" for r in self.missing]
+        return out + [f"{r}: only the first files" for r in self.truncated] + [f"{r}: a member is damaged" for r in self.partial] + [f"{r}: not there" for r in self.missing]
 
 
 def matched_glob(path: str, root: str, globs):
@@ -150,6 +163,51 @@ def discover(roots, include=(), exclude=None, max_files: int = MAX_FILES, unsupp
     return report
 
 
+@dataclass(frozen=True)
+class Host:
+    """What differs on one machine; None takes the general value, an empty tuple means no globs at all."""
+
+    include: tuple | None = None
+    exclude: tuple | None = None
+    max_files: int | None = None
+    budget: int | None = None
+
+
+def node_of(path: str) -> str:
+    """The machine that a path names, as in /logs/node=web1/app.log; "" for this one."""
+    found = re.search(r"(?:^|/)node=([^/]+)(?:/|$)", path)
+    return found[1] if found else ""
+
+
+def discover_hosts(roots, hosts, **how) -> Report:
+    """discover, each root under the settings of the machine that its path names."""
+    report = Report()
+    for root in roots:
+        host = hosts.get(node_of(os.path.abspath(root)), Host())
+        own = {k: v for k in ("include", "exclude", "max_files") if (v := getattr(host, k)) is not None}
+        report.extend(discover([root], **{**how, **own}))
+    report.files.sort(key=lambda f: f.path.lower())
+    return report
+
+
+def check_access(path: str):
+    """None if a file can be opened or a folder listed, else why not; both are tried and not read off the mode."""
+    try:
+        if os.path.isdir(path):
+            os.scandir(path).close()
+        else:
+            open(path, "rb").close()
+    except OSError as e:
+        return f"{path}: {e.strerror or 'cannot be read'}"
+    return None
+
+
+def toggled(members, path: str) -> tuple:
+    """A merged set with a source taken in, or out if it is there; links to one file are one source; sorted."""
+    key = os.path.realpath(path)
+    return tuple(sorted(set(members) ^ {key}))
+
+
 def rotation(path: str):
     """(log that a file belongs to, rank), newest first; None where the name says nothing.
 

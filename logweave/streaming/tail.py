@@ -6,11 +6,15 @@ read anew under the next epoch, so that state by (source, epoch) starts afresh.
 """
 
 import json
+import logging
 import os
+import time
 import zlib
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from ..functions.fixed import BACKOFF
+
 ANCHOR = 64  # bytes before the offset that must not change
 MOST = 8 << 20  # bytes of a file in one batch
 
@@ -21,9 +25,27 @@ def check(handle, offset):
     return zlib.crc32(handle.read(offset - start))
 
 
+class Backoff:
+    """When a file that could not be read is tried again: later each time, and not at all once the steps are used up."""
+
+    def __init__(self, steps=BACKOFF, clock=time.monotonic):
+        self.steps, self.clock, self.held = steps, clock, {}
+
+    def over(self, path) -> bool:
+        return path not in self.held or self.clock() >= self.held[path][1]
+
+    def fine(self, path) -> None:
+        self.held.pop(path, None)
+
+    def failed(self, path, why) -> None:
+        n = self.held.get(path, (0, 0))[0] + 1
+        self.held[path] = (n, self.clock() + self.steps[n - 1] if n <= len(self.steps) else float("inf"))
+        logging.getLogger(__name__).warning("%s: %s; %s", path, why, f"tried again in {self.steps[n - 1]} s" if n <= len(self.steps) else "given up")
+
+
 class TailReader(SimpleDataSourceStreamReader):
     def __init__(self, paths, from_start):
-        self.paths, self.from_start = paths, from_start
+        self.paths, self.from_start, self.waits = paths, from_start, Backoff()
 
     def initialOffset(self):
         out = {}
@@ -51,18 +73,25 @@ class TailReader(SimpleDataSourceStreamReader):
                     done, line, epoch = 0, 0, epoch + 1
                 f.seek(done)
                 data = f.read(MOST if stop is None else max(0, stop - done))
+                if stop is None and len(data) == MOST and b"\n" not in data:
+                    data += f.readline()  # a line longer than a batch is taken whole
                 data = data[: data.rfind(b"\n") + 1]
                 for text in data.decode("utf-8", "replace").split("\n")[:-1]:
                     rows.append((path, epoch, line, text.removesuffix("\r")))
                     line += 1
+                self.waits.fine(path)
                 return rows, [info.st_ino, done + len(data), line, epoch, check(f, done + len(data))]
-        except OSError:
-            return rows, state
+        except FileNotFoundError:
+            return [], state  # it may come, or come back
+        except OSError as e:
+            if stop is None:
+                self.waits.failed(path, e)
+            return [], state
 
     def read(self, start):
         rows, after = [], {}
         for path, state in json.loads(start["files"]).items():
-            got, after[path] = self.advance(path, state)
+            got, after[path] = self.advance(path, state) if self.waits.over(path) else ([], state)
             rows += got
         return iter(rows), {"files": json.dumps(after, sort_keys=True)}
 
