@@ -98,3 +98,13 @@ def test_edge_tables(spark):
     nulls = near_duplicates(docs.withColumn("doc_id", F.lit(None).cast("long"))).collect()
     assert len(nulls) == 6 and all(r.kept and r.component_id is None for r in nulls)
     assert near_duplicates(docs.where("false")).collect() == []
+
+
+def test_links_in_one_task_take_few_jobs(spark):
+    # the driver's memory goes by jobs and their tasks
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 100)], "u long, v long")
+    spark.sparkContext.setJobGroup("links in one task", "")
+    found = components(links)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("links in one task"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs <= 4 and {r.node: r.component for r in found.collect()} == {i: 1 for i in range(1, 101)}
