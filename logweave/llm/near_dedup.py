@@ -9,20 +9,24 @@ needs.  The first two labels make a region.  A region's depth is adaptive: a doc
 many further labels with it as leave at most `few` documents, and with its two neighbours, which share the longest prefix.
 A pair with similarity 0.8 shares the first two labels of none of 12 orders with probability 5e-6, with 0.85 2e-7.
 
-Then follow rounds over the regions of more than `few` documents, for as long as a round finds links.  Groups that are
-found are one component by then; the members of a region outside its largest component look for the `near` documents of
-other components that agree best in all labels, among the `reach` next ones on both sides; each round looks for `near` more.
-So a round makes candidates in proportion to rows, whatever the size of a group.
-
-Candidates whose labels agree in a share that lies more than `slack` (five mean errors) below the similarity are no
+The documents in regions of more than `few` are joined exactly, by prefixes of their whole sets: shingles have an order
+in which frequent ones come last, and similar sets share one of their first.  Of the documents that share such a shingle,
+all pairs of different components whose sizes, places and odd shingles allow the similarity are confirmed.  Groups that
+were found before are one component by then, so that members of one group make no pairs.  No pair is left out whatever
+the size of a region or of a shingle's documents; many distinct documents that are nearly as similar as a link, and have
+none, are the case in which the number of pairs grows with the square of theirs.
+
+Candidates of the regions whose labels agree in a share that lies more than `slack` (five mean errors) below the similarity are no
 candidates; the others are confirmed on the whole sets.
 
 Results by case: null and empty texts have an empty set and stay alone; texts under `size` words are one run; rows that
 share an id are one document in the graph; rows with a null id stay alone, keep a null component and are kept; ties
-between equally good candidates go by place in the order and change no component that is found; very long texts are
+between equally ranked shingles go by their hashes and change no component; very long texts are
 hashed whole; an empty table gives an empty result; further columns are ignored.
 """
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +38,8 @@ from .kernels import BASE, LOWER, give_back, in_sorted, mix64, pack_sorted, slic
 
 REGION = 8  # bytes that stand for the labels of a region
 BLOCK_ROWS = 1 << 17  # rows of an order that a task holds at a time
+RANKED = 1 << 18  # shingles that have a rank
+SAMPLES = 20_000  # rows that bound the ranges of the orders, about: the driver gets three times as many
 
 
 def shingle_sets(column, size):
@@ -158,16 +164,16 @@ def blocks(batches, names, carry):
         yield block(), before
 
 
-PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("tree", pa.int32()), ("label", pa.binary())])
+PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def pair_batch(doc, a, b):
     u, v = np.maximum(doc[a], doc[b]), np.minimum(doc[a], doc[b])
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.binary())], schema=PAIRS)
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=PAIRS)
 
 
 def first_pairs(few, least):
-    """Candidate pairs (u, v) of a sorted range, and the rows (tree, label, doc as u) of regions that may be larger than `few`."""
+    """Candidate pairs (u, v) of a sorted range, and the documents (u, null) of regions that may be larger than `few`."""
 
     def run(batches):
         for block, old in blocks(batches, ["doc"], few):
@@ -200,44 +206,192 @@ def first_pairs(few, least):
             large = (block.end - block.begin > few) | (block.begin == 0) | (block.end == n)
             large[:old] = False
             at = np.flatnonzero(large)
-            yield pa.RecordBatch.from_arrays([pa.array(block.doc[at]), pa.nulls(len(at), pa.int64()), pa.array(block.tree[at].astype(np.int32)),
-                                              pa.array([block.label[i].tobytes() for i in at], pa.binary())], schema=PAIRS)
+            yield pa.RecordBatch.from_arrays([pa.array(block.doc[at]), pa.nulls(len(at), pa.int64())], schema=PAIRS)
 
     return run
 
 
-def outer_pairs(near, reach, least):
-    """For each member of a region outside its largest component the `near` best of other components among the `reach`
-    next rows on either side."""
+TOKEN_ROWS = ["token", "doc", "of", "size", "place", "odd1", "odd2"]
+
+
+def batches_of_sets(batches, most=1 << 20):
+    """The rows of a partition in runs of about `most` shingles: the rows, all their shingles, how many each row has."""
+    for batch in batches:
+        held, total, start = [], 0, 0
+        for i, blob in enumerate(batch.column("shingles")):
+            held.append(unpack_sorted(blob.as_py()))
+            total += len(held[-1])
+            if total >= most or i + 1 == batch.num_rows:
+                yield batch.slice(start, i + 1 - start), np.concatenate(held), np.array([len(s) for s in held])
+                held, total, start = [], 0, i + 1
+
+
+def often(least=4, most=1 << 21):
+    """(token, times) of the shingles that stand in `least` sets of a partition at least."""
+
+    def added(parts):
+        token, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        return token, np.bincount(at, np.concatenate([n for _, n in parts]), len(token)).astype(np.int64)
+
+    def counted(flat):
+        token, times = np.unique(np.concatenate(flat), return_counts=True)
+        return token[times > 1], times[times > 1]
 
     def run(batches):
-        for block, old in blocks(batches, ["doc", "of"], reach):
-            of = block.more[0]
-            a, b = [], []
-            many = np.flatnonzero(block.fresh & (block.end - block.begin > 1))
-            for lo in many.tolist():
-                hi = int(block.end[lo])
-                if hi <= old:
-                    continue
-                names, which, times = np.unique(of[lo:hi], return_inverse=True, return_counts=True)
-                if len(names) < 2:
-                    continue
-                for i in (np.flatnonzero(which != times.argmax()) + lo).tolist():
-                    low, high = max(lo, i - reach), min(hi, i + reach + 1)
-                    other = np.flatnonzero(of[low:high] != of[i]) + low
-                    score = (block.sketch[other] == block.sketch[i]).mean(axis=1)
-                    fits = np.flatnonzero(score >= least)
-                    if len(fits) > near:
-                        fits = fits[np.argsort(-score[fits], kind="stable")[:near]]
-                    a.append(np.full(len(fits), i))
-                    b.append(other[fits])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pair_batch(block.doc, a, b)
+        parts, flat, rows = [], [], 0
+        for _, shingles, _ in batches_of_sets(batches):
+            flat.append(shingles)
+            rows += len(shingles)
+            if rows >= most:
+                parts, flat, rows = [added([*parts, counted(flat)])], [], 0
+        if flat:
+            parts = [added([*parts, counted(flat)])]
+        for token, times in parts:
+            token, times = token[times >= least], times[times >= least]
+            for i in range(0, len(token), 10_000):
+                yield pa.RecordBatch.from_pydict({"token": pa.array(token[i : i + 10_000].view(np.int64)), "times": pa.array(times[i : i + 10_000])})
+        give_back()
+
+    return run
+
+
+def ranked(sets):
+    """The shingles that stand in most sets, ascending, and a rank of each that grows with that number; all others have rank 0.
+
+    The ranks only order the shingles: any order gives the same pairs in the end, a better one makes fewer candidates.
+    So counts by partition suffice, and as many levels of them as hold RANKED shingles.
+    """
+    counts = sets.mapInArrow(often(), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    counts = checkpointed(counts.select("token", F.floor(4 * F.log2("times")).cast("int").alias("rank")))
+    total, least = 0, None
+    for level, n in sorted(((r["rank"], r["count"]) for r in counts.groupBy("rank").count().collect()), reverse=True):
+        total += n
+        if total > RANKED:
+            break
+        least = level
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    top = counts.where(F.col("rank") >= least).toArrow()
+    token, rank = top.column("token").to_numpy().view(np.uint64), top.column("rank").to_numpy().astype(np.uint8)
+    order = np.argsort(token)
+    return token[order], rank[order]
+
+
+def prefixes(similarity, table, ranks):
+    """Rows (token, doc, of, size, place, odd1, odd2): of a set of n shingles, those by ascending rank that two sets must
+    share one of.  odd1 and odd2 tell for each of 128 values of a shingle's leading bits whether it comes an odd number of times."""
+    num, den = similarity
+
+    def run(batches):
+        for part, flat, size in batches_of_sets(batches):
+            rank = np.zeros(len(flat), np.uint8)
+            if len(table):
+                at = np.minimum(np.searchsorted(table, flat), len(table) - 1)
+                rank = np.where(table[at] == flat, ranks[at], 0)
+            which = np.repeat(np.arange(len(size)), size)
+            odd = np.bincount(which * 128 + (flat >> np.uint64(57)).astype(np.int64), minlength=128 * len(size)).reshape(-1, 128) & 1
+            odd = np.packbits(odd.astype(bool), axis=1).view(np.int64)
+            flat = flat[np.lexsort((flat, rank, which))]
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            keep = place <= (size + (-num * size) // den)[which]
+            which, doc, of = which[keep], part.column("doc").to_numpy(), part.column("of").to_numpy()
+            columns = [flat[keep].view(np.int64), doc[which], of[which], size[which].astype(np.int32), place[keep].astype(np.int32), odd[which, 0], odd[which, 1]]
+            for i in range(0, len(which), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 10_000]) for c in columns], names=TOKEN_ROWS)
+        give_back()
 
     return run
 
 
+def sharing_pairs(similarity, few=32, cells=1 << 21):
+    """Of each token's rows all pairs (u, v) of different components that may be as similar.
+
+    A pair's first common shingle has the rest of both sets behind it, so that what is left of the shorter rest bounds
+    what they share; pairs for which the bound is too low here have an earlier one or are no link.  Sets differ in as
+    many shingles at least as their odd values do.
+    """
+    num, den = similarity
+
+    def fit(rows, a, b):
+        _, _, of, size, place, odd1, odd2 = rows
+        both = size[a] + size[b]
+        least = -((-num * both) // (num + den))
+        fits = np.flatnonzero((of[a] != of[b]) & (np.minimum(size[a] - place[a], size[b] - place[b]) >= least))
+        a, b = a[fits], b[fits]
+        differ = sum(np.bitwise_count((odd[a] ^ odd[b]).view(np.uint64)).astype(np.int64) for odd in (odd1, odd2))
+        fits = differ <= (both - 2 * least)[fits]
+        return a[fits], b[fits]
+
+    def pairs(rows):
+        token, _, of = rows[:3]
+        fresh = np.append(True, token[1:] != token[:-1])
+        begin = np.flatnonzero(fresh)
+        mixed = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin)
+        length = np.diff(np.append(begin, len(token)))
+        some = mixed & (length <= few)
+        stop = np.repeat(np.where(some, begin + length, 0), length)
+        i = np.flatnonzero(np.repeat(some, length))
+        for d in range(1, few):
+            i = i[i + d < stop[i]]
+            yield fit(rows, i, i + d)
+        for lo, n in zip(begin[mixed & ~some].tolist(), length[mixed & ~some].tolist()):
+            # members of the largest component pair with those outside it alone
+            _, which, times = np.unique(of[lo : lo + n], return_inverse=True, return_counts=True)
+            outer, inner = np.flatnonzero(which != times.argmax()) + lo, np.flatnonzero(which == times.argmax()) + lo
+            after = np.concatenate((outer, inner))
+            step = max(1, cells // n)
+            for k in range(0, len(outer), step):
+                a = np.repeat(outer[k : k + step], len(after) - k)
+                b = np.tile(after[k:], len(outer[k : k + step]))
+                yield fit(rows, a, b)
+
+    def run(batches):
+        for rows in token_blocks(batches):
+            seen, total = [], 0
+            for a, b in pairs(rows):
+                if len(a):
+                    doc = rows[1]
+                    seen.append(np.stack((np.maximum(doc[a], doc[b]), np.minimum(doc[a], doc[b]))))
+                    total += len(a)
+                if total > cells:
+                    seen = [np.unique(np.concatenate(seen, axis=1), axis=1)]
+                    yield from pair_batches(seen)
+                    seen, total = [], 0
+            if seen:
+                yield from pair_batches([np.unique(np.concatenate(seen, axis=1), axis=1)])
+        give_back()
+
+    return run
+
+
+def token_blocks(batches):
+    """The columns of a sorted partition in blocks that end with a token's last row."""
+    held, rows = [], 0
+
+    def columns(table):
+        return [table.column(c).to_numpy().astype(np.int64, copy=False) for c in TOKEN_ROWS]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= BLOCK_ROWS and batch.num_rows and held[0].column("token")[0] != batch.column("token")[-1]:
+            table = pa.Table.from_batches(held)
+            token = table.column("token").to_numpy()
+            cut = int(np.searchsorted(token, token[-1]))
+            yield columns(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+            rows -= cut
+    if rows:
+        yield columns(pa.Table.from_batches(held))
+
+
+def pair_batches(seen):
+    for u, v in seen:
+        for i in range(0, len(u), 10_000):
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u[i : i + 10_000]), "v": pa.array(v[i : i + 10_000])})
+
+
 def write_sets(size):
     def run(batches):
         for batch in batches:
@@ -269,7 +423,19 @@ def confirmed(pairs, sets, similarity):
     return checkpointed(pairs.join(left, "u").join(right, "v").select("u", "v", "shingles_u", "shingles_v").mapInArrow(confirm(*similarity), "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, size=5, similarity=(80, 100), trees=12, labels=96, few=8, near=4, reach=256, slack=0.2, key="doc_id", text="text") -> DataFrame:
+@contextlib.contextmanager
+def sampled(spark):
+    """Plans that run herein sample SAMPLES rows for their ranges, however many partitions there are."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, min(int(before), SAMPLES // partitions(spark)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def near_duplicates(docs: DataFrame, size=5, similarity=(80, 100), trees=12, labels=96, few=8, slack=0.2, key="doc_id", text="text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of docs; the key is an integer.
 
     similarity: (numerator, denominator) of the least Jaccard similarity of a link.
@@ -282,23 +448,20 @@ def near_duplicates(docs: DataFrame, size=5, similarity=(80, 100), trees=12, lab
     classes = rows.where("n_shingles > 0 and key is not null").groupBy("print1", "print2", "n_shingles")
     classes = checkpointed(classes.agg(F.min("key").alias("doc"), F.min("regions").alias("regions"), F.min("sketch").alias("sketch")))
 
-    in_order = lambda df: df.repartitionByRange(partitions(spark), "tree", "label", "doc").sortWithinPartitions("tree", "label", "doc")
-    row = "u long, v long, tree int, label binary"
-    found = checkpointed(in_order(orders(classes, trees, labels)).mapInArrow(first_pairs(few, least), row))
-    large, pairs = found.where("v is null").select("tree", "label", F.col("u").alias("doc")), found.where("v is not null").select("u", "v").distinct()
-    needed = found.select(F.col("u").alias("doc")).unionByName(found.where("v is not null").select(F.col("v").alias("doc"))).distinct()
+    spread = orders(classes, trees, labels)
+    with sampled(spark):
+        spread = spread.repartitionByRange(partitions(spark), "tree", "label", "doc").sortWithinPartitions("tree", "label", "doc")
+        found = checkpointed(spread.mapInArrow(first_pairs(few, least), "u long, v long"))
+    large, pairs = found.where("v is null").select(F.col("u").alias("doc")).distinct(), found.where("v is not null").distinct()
+    needed = found.select(F.explode(F.array("u", "v")).alias("doc")).where("doc is not null").distinct()
     sets = checkpointed(whole.withColumnRenamed("key", "doc").join(needed, "doc", "left_semi").mapInArrow(write_sets(size), "doc long, shingles binary"))
     # an id that several rows share stands for all their sets: its class's own one is among them
-    known, tested, wanted = components(confirmed(pairs, sets, similarity)), pairs, near
-    while True:
-        named = known.select(F.col("node").alias("doc"), F.col("component").alias("of"))
-        members = large.join(named, "doc", "left").select("tree", "label", "doc", F.coalesce("of", "doc").alias("of"))
-        further = in_order(members).mapInArrow(outer_pairs(wanted, reach, least), row).select("u", "v").distinct()
-        further = checkpointed(further.join(tested, ["u", "v"], "left_anti"))
-        links = confirmed(further, sets, similarity)
-        if links.isEmpty():
-            break
-        known, tested, wanted = renamed(known, links), tested.unionByName(further), wanted + near
+    known = checkpointed(components(confirmed(pairs, sets, similarity)))
+    members = large.join(known.select(F.col("node").alias("doc"), F.col("component").alias("of")), "doc", "left").select("doc", F.coalesce("of", "doc").alias("of"))
+    rest = sets.join(members, "doc").mapInArrow(prefixes(similarity, *ranked(sets)), "token long, doc long, of long, size int, place int, odd1 long, odd2 long")
+    rest = rest.repartition(partitions(spark), "token").sortWithinPartitions("token")
+    rest = checkpointed(rest.mapInArrow(sharing_pairs(similarity), "u long, v long").distinct())
+    known = renamed(known, confirmed(rest, sets, similarity))
 
     # only classes of several rows and linked ones have a name other than their own document's
     named = classes.select("print1", "print2", "n_shingles", "doc").join(known.withColumnRenamed("node", "doc"), "doc", "left")

@@ -1,10 +1,14 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from logweave.llm import near_dedup
 from logweave.llm.components import components, renamed
-from logweave.llm.near_dedup import near_duplicates, op7_near_dedup
+from logweave.llm.kernels import pack_sorted
+from logweave.llm.near_dedup import near_duplicates, op7_near_dedup, shingle_sets, signatures
 
 from .util import WORD, documents, prose
 
@@ -100,6 +104,47 @@ def test_edge_tables(spark):
     assert near_duplicates(docs.where("false")).collect() == []
 
 
+def test_pairs_far_apart_in_a_large_region(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 70, 900)
+    texts = [f"{passage} {prose(rng, 30, 90_000)}" for _ in range(1300)]
+    texts += [t.rsplit(" ", 1)[0] + " another" for t in texts[:30]]
+    marks = signatures(shingle_sets(pa.array(texts), 3), 2)
+    region, sizes = np.unique(marks, axis=0, return_inverse=True, return_counts=True)[1:]
+    large = [i for i in range(30) if region[i] == region[1300 + i] and sizes[region[i]] > 400]
+    assert len(large) > 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, size=3, similarity=(85, 100), trees=1, labels=2).collect()}
+    assert all(got[1300 + i] == i for i in large) and all(got[i] == i for i in range(1300))
+
+
+def test_shared_prefixes_lose_no_similar_pair(monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 300)
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 64, 3000, np.uint64)
+    sets = []
+    for _ in range(60):
+        base = rng.choice(pool[:200] if rng.random() < 0.5 else pool, rng.integers(1, 120))
+        sets += [np.unique(np.append(rng.permutation(base)[rng.integers(0, 1 + len(base) // 8) :], rng.choice(pool, rng.integers(0, 4)))) for _ in range(8)]
+    sets.append(np.zeros(0, np.uint64))
+    of = rng.integers(0, 60, len(sets))
+    table = np.sort(pool[:200])
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(sets)), pa.int64()), "shingles": pa.array([pack_sorted(s) for s in sets], pa.binary()), "of": pa.array(of)})
+    for similarity in ((85, 100), (80, 100), (1, 1)):
+        num, den = similarity
+        rows = pa.Table.from_batches(near_dedup.prefixes(similarity, table, np.full(200, 9, np.uint8))([batch])).sort_by("token")
+        for few, cells in ((32, 1 << 21), (2, 100)):
+            got = set()
+            for out in near_dedup.sharing_pairs(similarity, few, cells)(rows.to_batches(max_chunksize=100)):
+                got |= set(zip(out.column("u").to_pylist(), out.column("v").to_pylist()))
+            wanted = set()
+            for a, b in itertools.combinations(range(len(sets)), 2):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if both and of[a] != of[b] and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                    wanted.add((b, a))
+            assert wanted and wanted <= got and all(of[u] != of[v] for u, v in got) and len(got) < 40 * len(wanted)
+
+
 def test_links_in_one_task_take_few_jobs(spark):
     # the driver's memory goes by jobs and their tasks
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 100)], "u long, v long")
