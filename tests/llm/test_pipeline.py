@@ -64,3 +64,24 @@ def test_stages_with_odd_tables(spark, corpus, name, stage):
         assert len(rows) == odd.count() and all(r.text is not None for r in rows)
     if name == "mixing":
         assert sum(words) > 0 and all(words)
+
+
+def test_near_dedup_finds_copies_far_apart_in_a_large_region(spark, monkeypatch):
+    from functools import partial
+
+    import numpy as np
+    import pyarrow as pa
+
+    from logweave.llm.near_dedup import near_duplicates, shingle_sets, signatures
+
+    # one order of two labels: a region holds hundreds of documents
+    monkeypatch.setattr(corpus_pipeline, "near_duplicates", partial(near_duplicates, trees=1, labels=2))
+    rng = random.Random(8)
+    passage = prose(rng, 70, 900)
+    texts = [f"{passage} {prose(rng, 30, 90_000)}" for _ in range(1300)]
+    texts += [t.rsplit(" ", 1)[0] + " another" for t in texts[:30]]
+    region, sizes = np.unique(signatures(shingle_sets(pa.array(texts), 5), 2), axis=0, return_inverse=True, return_counts=True)[1:]
+    large = [i for i in range(30) if region[i] == region[1300 + i] and sizes[region[i]] > 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert len(large) > 5 and kept >= set(range(1300)) and not kept & {1300 + i for i in large}
