@@ -16,8 +16,8 @@ were found before are one component by then, so that members of one group make n
 the size of a region or of a shingle's documents; many distinct documents that are nearly as similar as a link, and have
 none, are the case in which the number of pairs grows with the square of theirs.
 
-Candidates of the regions whose labels agree in a share that lies more than `slack` (five mean errors) below the similarity are no
-candidates; the others are confirmed on the whole sets.
+Labels only order the documents and make regions: no candidate is dropped by what they estimate, each one is confirmed on
+the whole sets.
 
 Results by case: null and empty texts have an empty set and stay alone; texts under `size` words are one run; rows that
 share an id are one document in the graph; rows with a null id stay alone, keep a null component and are kept; ties
@@ -124,13 +124,6 @@ class Block:
         self.fresh[1:] = (region[1:] != region[:-1]) | (self.tree[1:] != self.tree[:-1])
         self.begin, self.end = run_ends(self.fresh)
 
-    def agreement(self, a, b):
-        """Share of labels that rows a and b have in common."""
-        out = np.empty(len(a), np.float32)
-        for i in range(0, len(a), 1 << 14):
-            out[i : i + (1 << 14)] = (self.sketch[a[i : i + (1 << 14)]] == self.sketch[b[i : i + (1 << 14)]]).mean(axis=1)
-        return out
-
 
 def run_ends(fresh):
     """For each row the first row of its run and the first behind it."""
@@ -172,7 +165,7 @@ def pair_batch(doc, a, b):
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=PAIRS)
 
 
-def first_pairs(few, least):
+def first_pairs(few):
     """Candidate pairs (u, v) of a sorted range, and the documents (u, null) of regions that may be larger than `few`."""
 
     def run(batches):
@@ -200,8 +193,7 @@ def first_pairs(few, least):
                 a.append(i)
                 b.append(i + d)
             a, b = np.concatenate(a), np.concatenate(b)
-            fits = block.agreement(a, b) >= least
-            yield pair_batch(block.doc, a[fits], b[fits])
+            yield pair_batch(block.doc, a, b)
             # regions cut by the end of a block may go on
             large = (block.end - block.begin > few) | (block.begin == 0) | (block.end == n)
             large[:old] = False
@@ -435,14 +427,13 @@ def sampled(spark):
         spark.conf.set(name, before)
 
 
-def near_duplicates(docs: DataFrame, size=5, similarity=(80, 100), trees=12, labels=96, few=8, slack=0.2, key="doc_id", text="text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size=5, similarity=(80, 100), trees=12, labels=96, few=8, key="doc_id", text="text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of docs; the key is an integer.
 
     similarity: (numerator, denominator) of the least Jaccard similarity of a link.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    least = similarity[0] / similarity[1] - slack
     whole = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     rows = checkpointed(whole.mapInArrow(sign(size, trees, labels), "key long, n_shingles long, print1 long, print2 long, regions binary, sketch binary"))
     classes = rows.where("n_shingles > 0 and key is not null").groupBy("print1", "print2", "n_shingles")
@@ -451,7 +442,7 @@ def near_duplicates(docs: DataFrame, size=5, similarity=(80, 100), trees=12, lab
     spread = orders(classes, trees, labels)
     with sampled(spark):
         spread = spread.repartitionByRange(partitions(spark), "tree", "label", "doc").sortWithinPartitions("tree", "label", "doc")
-        found = checkpointed(spread.mapInArrow(first_pairs(few, least), "u long, v long"))
+        found = checkpointed(spread.mapInArrow(first_pairs(few), "u long, v long"))
     large, pairs = found.where("v is null").select(F.col("u").alias("doc")).distinct(), found.where("v is not null").distinct()
     needed = found.select(F.explode(F.array("u", "v")).alias("doc")).where("doc is not null").distinct()
     sets = checkpointed(whole.withColumnRenamed("key", "doc").join(needed, "doc", "left_semi").mapInArrow(write_sets(size), "doc long, shingles binary"))

@@ -85,3 +85,23 @@ def test_near_dedup_finds_copies_far_apart_in_a_large_region(spark, monkeypatch)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert len(large) > 5 and kept >= set(range(1300)) and not kept & {1300 + i for i in large}
+
+
+def test_near_dedup_finds_copies_whose_labels_differ(spark, monkeypatch):
+    from functools import partial
+
+    import pyarrow as pa
+
+    from logweave.llm.near_dedup import near_duplicates, shingle_sets, signatures
+
+    # with so few labels many pairs over the similarity agree in less than 0.6 of them
+    monkeypatch.setattr(corpus_pipeline, "near_duplicates", partial(near_duplicates, trees=1, labels=7))
+    rng = random.Random(3)
+    texts = [prose(rng, 100, 90_000).split() for _ in range(1000)]
+    texts = [" ".join(t) for t in texts] + [" ".join([*t[:30], "a", *t[31:60], "b", *t[61:]]) for t in texts]
+    marks = signatures(shingle_sets(pa.array(texts), 5), 7)
+    agree = marks[:1000] == marks[1000:]
+    odd = [i for i in range(1000) if agree[i, :2].all() and agree[i].sum() <= 4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert len(odd) > 9 and kept >= set(range(1000)) and not kept & {1000 + i for i in odd}
