@@ -20,23 +20,29 @@ def classify(s):
 def sort_substrings(words, at, depth):
     """Places `at` sorted by `depth` bytes of text; ties stay in order of place."""
     groups = np.zeros(len(at), np.int64)
-    order = np.arange(len(at))
+    order = at.copy()
     todo = np.arange(len(at))  # ranks whose group is still tied
     last = len(words) - 1
     for offset in range(0, depth, 8):
         if len(todo) < 2:
             break
-        key = words[np.minimum(at[order[todo]] + offset, last)]
-        by = np.lexsort((key, groups[todo]))
-        order[todo] = order[todo][by]
-        key, group = key[by], groups[todo]
-        fresh = np.ones(len(todo), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        name = np.cumsum(fresh)
-        groups[todo] = todo[np.flatnonzero(fresh)][name - 1]
-        many = np.bincount(name)[name] > 1
-        todo = todo[many]
-    return at[order]
+        key, group = words[np.minimum(order[todo] + offset, last)], groups[todo]
+        fresh = np.append(True, group[1:] != group[:-1])
+        unlike = np.append(False, key[1:] != key[:-1]) & ~fresh
+        if not unlike.any():
+            continue
+        # repeats go on alike for long: only groups that differ here are sorted
+        name = np.cumsum(fresh) - 1
+        mixed = np.zeros(name[-1] + 1, bool)
+        mixed[name[unlike]] = True
+        some = np.flatnonzero(mixed[name])
+        by = some[np.lexsort((key[some], group[some]))]
+        order[todo[some]], key[some] = order[todo[by]], key[by]
+        fresh[1:] |= key[1:] != key[:-1]
+        begin, name = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        groups[todo] = todo[begin][name]
+        todo = todo[np.diff(np.append(begin, len(todo)))[name] > 1]
+    return order
 
 
 def text_words(s):

@@ -28,14 +28,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, partitions, power_of_two, text_size
-from .kernels import Powers, byte_prefix, covered, in_sorted, mix64, pack_sorted, runs, span_hashes, text_bytes, unpack_sorted
+from .kernels import BASE, Powers, byte_prefix, covered, in_sorted, mix64, pack_sorted, runs, span_hashes, text_bytes, unpack_sorted
 from .substring_dedup import by_bucket, count_bucket
 from .suffix_array import repeats
 
 LAST = np.iinfo(np.int64).max
+BLOCK = 1 << 15  # places that are hashed at a time, so that what is worked on stays in a core's cache
 SEVERAL = np.uint64(0)  # stands for two or more blocks; a block whose hash it is only sends its windows as well
 
 
+def distinct(values):
+    """Ascending distinct values; np.unique hashes them first, which takes several times as long."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def repeated(values):
+    """Which values stand twice or more among them."""
+    order = np.sort(values)
+    return in_sorted(values, distinct(order[1:][order[1:] == order[:-1]]))
+
+
+def least_places(prefix, powers, window, anchor):
+    """For each window of the whole buffer the place of the run of `anchor` bytes in it with the least hash, and the
+    hash of the run at each place; ties go to the leftmost place."""
+    n, width = len(prefix) - window, window - anchor + 1  # windows; runs in each
+    bits = np.uint64(max(1, (len(prefix) - 1).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    down, extra = powers.upto(len(prefix))[1], np.uint64(anchor * BASE % (1 << 64))
+    hashes, places = np.empty(n + width - 1, np.uint64), np.empty(n, np.int64)
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK) + width - 1
+        raw = prefix[lo + anchor : hi + anchor] - prefix[lo:hi]
+        raw *= down[lo:hi]
+        raw += extra
+        hashes[lo:hi] = raw = mix64(raw)
+        least = (raw & ~low) | np.arange(lo, hi, dtype=np.uint64)
+        reach = 1
+        while 2 * reach <= width:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        if reach < width:
+            least = np.minimum(least[: reach - width], least[width - reach :])
+        places[lo : hi - width + 1] = least & low
+    return places, hashes
+
+
 class Chunk:
     """A chunk's texts in order, its windows and the blocks that they form."""
 
@@ -45,25 +83,24 @@ class Chunk:
         self.ids = rows.column("key").fill_null(LAST).to_numpy()
         self.window, n = window, np.diff(off)
         counts = np.maximum(n - window + 1, 0)
-        self.doc = np.repeat(np.arange(len(n)), counts)
-        self.starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(off[:-1], counts)
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), counts)
+        edge = np.zeros(len(buf) + 1, np.int8)
+        begin = off[:-1][counts > 0]
+        edge[begin] = 1
+        edge[begin + counts[counts > 0]] = -1
+        inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+        self.starts = np.flatnonzero(inside)
         self.powers = Powers()
         self.prefix = byte_prefix(buf, self.powers)
         if not len(self.starts):
             self.first = self.last = np.zeros(0, np.int64)
             self.anchors = self.blocks = np.zeros(0, np.uint64)
             return
-        at = np.arange(len(buf) - anchor + 1)
-        hashes = span_hashes(self.prefix, at, at + anchor, self.powers)
-        bits = np.uint64(max(1, len(buf).bit_length()))
-        least = (hashes >> bits << bits) | at.astype(np.uint64)  # ties go to the leftmost place
-        reach, width = 1, window - anchor + 1
-        while 2 * reach <= width:
-            least = np.minimum(least[:-reach], least[reach:])
-            reach *= 2
-        least = np.minimum(least[self.starts], least[self.starts + width - reach])
-        place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        edge = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(self.doc, prepend=-1) != 0))
+        place, hashes = least_places(self.prefix, self.powers, window, anchor)
+        place = place[inside[: len(place)]]
+        fresh = np.append(True, place[1:] != place[:-1])
+        fresh[(np.cumsum(counts) - counts)[counts > 0]] = True
+        edge = np.flatnonzero(fresh)
         self.first, self.last = edge, np.append(edge[1:], len(place)) - 1  # numbers of each block's windows
         self.anchors = mix64(hashes[place[edge]])  # least hashes are all small; mixed one to one, they fill all buckets
         self.blocks = span_hashes(self.prefix, self.starts[self.first], self.starts[self.last] + window, self.powers)
@@ -84,13 +121,12 @@ class Chunk:
     def local_repeats(self):
         """Numbers of the windows that also start earlier in this chunk, from the suffixes of blocks whose anchor
         occurs twice in it."""
-        _, which, times = np.unique(self.anchors, return_inverse=True, return_counts=True)
         able = np.zeros(len(self.starts), bool)
-        able[self.windows_of(times[which] > 1)] = True
+        able[self.windows_of(repeated(self.anchors))] = True
         # texts of runs of such windows, each closed by a byte that UTF-8 never has
         a, b = runs(able)
         cut = np.unique(np.concatenate((a, b, np.flatnonzero(np.diff(self.doc)) + 1)))
-        a = cut[np.isin(cut, np.flatnonzero(able), assume_unique=True)]
+        a = cut[np.append(able, False)[cut]]
         if not len(a):
             return a
         b = np.minimum(np.append(cut, len(able))[np.searchsorted(cut, a, "right")], len(able))
@@ -108,12 +144,12 @@ class Chunk:
 
 
 def send_anchors(window, anchor, bits):
-    return lambda key, rows: by_bucket(key[0].as_py(), np.unique(Chunk(rows, window, anchor).anchors), bits)
+    return lambda key, rows: by_bucket(key[0].as_py(), distinct(Chunk(rows, window, anchor).anchors), bits)
 
 
 def told(answers, kind):
     blobs = [unpack_sorted(h.as_py()) for h, k in zip(answers.column("hashes"), answers.column("kind")) if k.as_py() == kind]
-    return np.unique(np.concatenate(blobs)) if blobs else np.zeros(0, np.uint64)
+    return distinct(np.concatenate(blobs)) if blobs else np.zeros(0, np.uint64)
 
 
 def entries_by_bucket(chunk, hashes, values, bits, above=0):
@@ -134,8 +170,7 @@ def send_blocks(window, anchor, bits):
     def send(key, rows, answers):
         c = Chunk(rows, window, anchor)
         elsewhere = told(answers, "a")
-        _, which, times = np.unique(c.anchors, return_inverse=True, return_counts=True)
-        some = np.flatnonzero(in_sorted(c.anchors, elsewhere) | (times[which] > 1))
+        some = np.flatnonzero(in_sorted(c.anchors, elsewhere) | repeated(c.anchors))
         # the first of each block in the chunk's order, which is that of ids
         order = some[np.lexsort((some, c.blocks[some]))]
         order = order[np.diff(c.blocks[order], prepend=~c.blocks[order[:1]]) != 0]
@@ -162,7 +197,7 @@ def answered(chunks, owner, values, kind):
     """Rows (chunk, kind, hashes) from values and the numbers of the chunks that they go to."""
     order = np.lexsort((values, owner))
     who, at = np.unique(owner[order], return_index=True)
-    blobs = [pack_sorted(np.unique(x)) for x in np.split(values[order], at[1:])] if len(who) else []
+    blobs = [pack_sorted(distinct(x)) for x in np.split(values[order], at[1:])] if len(who) else []
     return pa.table({"chunk": chunks[who].astype(np.int64), "kind": pa.array([kind] * len(who), pa.string()), "hashes": pa.array(blobs, pa.binary())})
 
 

@@ -80,3 +80,28 @@ def test_one_of_rows_with_one_id_keeps_a_passage(spark):
     assert [r.n_removed for r in one[0] if r.doc_id == 3] == [4999] * 3  # the windows from byte 1 on repeat the first
     key = lambda r: (r.doc_id or 0, bytes(r.kept_bytes), r.n_removed)
     assert sorted(map(key, one[0])) == sorted(map(key, one[1]))
+
+
+def test_repeats_are_sorted_where_they_differ_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = np.append(np.tile(np.append(rng.integers(2, 250, 4000), 1), 3), 0)
+    sorted_rows, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or sort(keys))
+    assert repeats(text, 100).tolist() == list(range(4001, len(text) - 100))
+    assert sum(sorted_rows) < 2 * len(text)
+
+
+def test_least_places_are_the_same_in_blocks(monkeypatch):
+    from logweave.llm import suffix_dedup
+    from logweave.llm.kernels import Powers, byte_prefix, span_hashes
+
+    rng = np.random.default_rng(4)
+    powers = Powers()
+    prefix = byte_prefix(rng.integers(0, 3, 500).astype(np.uint8), powers)
+    for block, window, anchor in ((1 << 15, 20, 12), (7, 20, 12), (64, 9, 9), (1, 30, 3)):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        places, hashes = suffix_dedup.least_places(prefix, powers, window, anchor)
+        at = np.arange(500 - anchor + 1)
+        want = span_hashes(prefix, at, at + anchor, powers)
+        order = lambda i: (want[i] >> np.uint64(9), i)  # noqa: B023, E731
+        assert (hashes == want).all() and places.tolist() == [min(range(i, i + window - anchor + 1), key=order) for i in range(500 - window + 1)]
